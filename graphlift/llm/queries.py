@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, lm
 
-QUERIES = {"op4_bpe": bpe.op4_bpe}
+QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
+    "op7_lm_score": lm.op7_lm_score,
+}
 
 ORACLES: dict[str, str] = {}
