@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, lm
+from . import bpe, langid, lm, toxicity
 
 QUERIES = {
     "op4_bpe": bpe.op4_bpe,
+    "op5_language_id": langid.op5_language_id,
     "op7_lm_score": lm.op7_lm_score,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
