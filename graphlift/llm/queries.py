@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lm, toxicity
+from . import bpe, langid, licenses, lm, mpegts, toxicity
 
 QUERIES = {
+    "op1_mpegts": mpegts.op1_mpegts,
     "op4_bpe": bpe.op4_bpe,
     "op5_language_id": langid.op5_language_id,
     "op7_lm_score": lm.op7_lm_score,
+    "op8_license_scan": licenses.op8_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
