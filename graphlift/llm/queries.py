@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, licenses, lm, mpegts, toxicity
+from . import bpe, langid, licenses, lm, merkle, mpegts, toxicity
 
 QUERIES = {
     "op1_mpegts": mpegts.op1_mpegts,
+    "op3_merkle": merkle.op3_merkle,
     "op4_bpe": bpe.op4_bpe,
     "op5_language_id": langid.op5_language_id,
     "op7_lm_score": lm.op7_lm_score,
