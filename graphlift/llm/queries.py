@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, licenses, lm, merkle, mixing, mpegts, toxicity
+from . import bpe, chat, langid, licenses, lm, merkle, mixing, mpegts, pathjoin, toxicity
 
 QUERIES = {
     "op1_mpegts": mpegts.op1_mpegts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_merkle": merkle.op3_merkle,
     "op4_bpe": bpe.op4_bpe,
     "op5_language_id": langid.op5_language_id,
+    "op6_jaccard_join": pathjoin.op6_jaccard_join,
     "op7_lm_score": lm.op7_lm_score,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_mixing": mixing.op9_mixing,
