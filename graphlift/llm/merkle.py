@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,11 +194,16 @@ def _ranges(docs: DataFrame, key: str, n: int) -> tuple[list[int], dict[int, int
 
 
 def _range_of(key: str, limits: list[int]):
+    """Number of limits up to the key; rows without a key come last in falling order, in range 0."""
     if not limits:
         return F.lit(0)
-    steps = F.array(*[F.lit(x) for x in limits])
-    # rows without a key come last in falling order: the lowest range
-    return F.coalesce(F.aggregate(steps, F.lit(0), lambda n, x: n + (x <= F.col(key)).cast("int")), F.lit(0))
+    steps = np.array(limits)
+
+    @F.pandas_udf("int")
+    def place(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.where(keys.isna(), 0, np.searchsorted(steps, keys.fillna(steps[0]).to_numpy(), "right")))
+
+    return place(F.col(key))
 
 
 def neighbours(docs: DataFrame, per_batch, schema: str, key: str = "doc_id", text: str = "text", partition_bytes: int = 24 << 20) -> DataFrame:
