@@ -1,0 +1 @@
+"""graphlift: exact and estimated counts of labelled patterns in large labelled directed graphs, on Spark."""
