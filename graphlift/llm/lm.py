@@ -45,7 +45,7 @@ class Sequence:
 
     def __init__(self, texts: list[bytes]):
         parts, counts = [], []
-        for a, b in vector.groups(texts):
+        for a, b in vector.groups(texts, 1_000_000):
             words = vector.Words(texts[a:b])
             parts.append(words.hashes())
             counts.append(words.counts())
@@ -149,7 +149,7 @@ class _Arcs:
         """Place of each key, or -1."""
         if not len(self.keys):
             return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        at = np.minimum(vector.lookup(self.keys, keys), len(self.keys) - 1)
         at[self.keys[at] != keys] = -1
         return at
 
@@ -209,7 +209,7 @@ class Automaton:
     def traverse(self, seq: Sequence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(base score, score, known tokens) of each text. The state before a token is the token before it."""
         at = seq.places()
-        token = np.searchsorted(self.words, seq.tokens)
+        token = vector.lookup(self.words, seq.tokens)
         state, token = token[at - 1], token[at]
         base = self.root(token)
         weight = base + np.log10(self.rest[state])

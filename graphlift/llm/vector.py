@@ -17,7 +17,8 @@ LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SPAN = 1 << 22
+#: Hashed at once: arrays of 8 bytes a unit that stay in the processor's cache.
+_SPAN = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -57,6 +58,14 @@ def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return out
 
 
+def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """np.searchsorted(table, keys) for large tables: sorted keys walk through the table instead of jumping about in it."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(table, keys[order])
+    return out
+
+
 class Words:
     """Words of many texts: starts, ends in `data`, the row of each word, and rows' first words (`first`, one more than rows)."""
 
