@@ -80,8 +80,9 @@ def activity(spark: SparkSession, sf_dir: str, until: float = 1.0) -> PropertyGr
     """Users and event types; edges 40 user->type, 50 user->user of the next event. `until` takes the first share of the time."""
     events = _read(spark, sf_dir, "events")
     if until < 1:
-        low, high = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
-        events = events.where(F.unix_micros("ts") <= int(low + (high - low) * until))
+        micros = F.unix_micros(F.col("ts").cast("timestamp"))
+        low, high = events.agg(F.min(micros), F.max(micros)).first()
+        events = events.where(micros <= int(low + (high - low) * until))
     labels = lambda x: F.array(F.lit(x)).cast("array<int>").alias("labels")
     ranked = _rank(events, "event_type", "rank")
     type_id = F.col("rank").cast("bigint") + EVENT_TYPE_BASE
