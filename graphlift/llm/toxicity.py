@@ -151,12 +151,13 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int =
     hash of the key (all, where there are fewer). That sample is all that comes to the driver; a key
     with several labels counts as labelled 1 if one of them is; null labels don't count."""
     marks = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
-    rows = docs.where(train).select(key, text).join(marks, key)
-    n, size = rows.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    rows = docs.where(train).select(key, text)
+    # lengths are joined here, not texts
+    n, size = rows.select(key, F.octet_length(text).alias("_bytes")).join(marks, key).agg(F.count("*"), F.sum("_bytes")).first()
     share = min(1.0, sample_docs / max(n, 1), sample_bytes / max(size or 0, 1))
     steps = 1 << 24
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("label sample")), F.lit(steps)) < int(steps * share)
-    picked = rows.where(draw).select(text, "_label").toArrow()
+    picked = rows.where(draw).join(marks, key).select(text, "_label").toArrow()
     texts = frames.strings(picked.column(0))
     y = np.array(picked.column(1).to_pylist(), np.int64)
     order = sorted(range(len(texts)), key=lambda i: (texts[i], y[i]))  # the fit doesn't hang on the order of arrival
