@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .model import Pattern
 from .operators import coloring, cycles, estimate, exact, metrics, sampling, stats, summary, update
+from .operators.store import new_path, stored
 from .plans.order import pattern_width
+from .streaming.update import SummaryStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -506,16 +508,13 @@ def estimate_after_update(spark, sf_dir):
 @_query("update_stream")
 def update_stream(spark, sf_dir):
     """The summary of the first 70 % of the time, brought up to date by a stream of the other edges."""
-    from .operators.store import _path
-    from .streaming.update import SummaryStream
-
-    early = fixtures.activity(spark, sf_dir, 0.7)
+    early = stored(fixtures.activity(spark, sf_dir, 0.7))
     late = fixtures.graph(spark, sf_dir, "activity").edges.join(early.edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    folder = _path(spark)
-    late.repartition(3).write.parquet(folder)
+    folder = new_path(spark)
+    late.repartition(2).write.parquet(folder)
     stream = SummaryStream(_summary(spark, sf_dir, "activity-early", 4, 0, early))
     source = spark.readStream.schema(late.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    stream.edges(source, checkpointLocation=f"{_path(spark)}-stream").awaitTermination()
+    stream.edges(source, checkpointLocation=f"{new_path(spark)}-stream").awaitTermination()
     return stream.summary.edge_deg.select("edge_label", "vlabel", "c1", "c2", "avg_in", "avg_out").withColumn("added_edges", F.lit(stream.summary.added_edges))
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..model import EDGE_SCHEMA, VERTEX_SCHEMA, PropertyGraph
 
 
-def _path(spark) -> str:
+def new_path(spark) -> str:
+    """A fresh path in the shared folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:  # only where the cluster names none, as in tests
         folder = os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}")
@@ -22,7 +23,7 @@ def _path(spark) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet under spark.checkpoint.dir and reads it again: later jobs don't repeat its work, and no lost executor can take it away."""
-    path = _path(df.sparkSession)
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -30,7 +31,7 @@ def written(df: DataFrame) -> DataFrame:
 def stored(graph: PropertyGraph, path: str | None = None) -> PropertyGraph:
     """The graph as Parquet: vertices, edges, and the edges once more in a folder for each label, so that a labelled edge of a pattern reads its slice alone."""
     spark = graph.edges.sparkSession
-    path = path or _path(spark)
+    path = path or new_path(spark)
     graph.vertices.write.mode("overwrite").parquet(f"{path}/vertices")
     graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
     spark.read.schema(EDGE_SCHEMA).parquet(f"{path}/edges").select("src", "dst", F.explode("labels").alias("label")).write.mode("overwrite").partitionBy("label").parquet(f"{path}/by_label")
