@@ -2,7 +2,8 @@
 
 A pattern becomes steps (plans.steps). Each step joins the partial matches, one row for each
 combination of live vertices with a weight, to the edges of one label; closing edges are semi-joins; a
-vertex without open edges is summed out at once, so a long path never holds more than its live ends.
+vertex without open edges is summed out at once, so a long path never holds more than its live ends, and
+a vertex that ends a branch is counted before the join.
 Filters of labels and ids stand before the joins, where Spark pushes them to the scan.
 """
 
@@ -93,7 +94,14 @@ def matches(graph: PropertyGraph, pattern: Pattern, keep: tuple[int, ...] = (),
             near, far = ("src", "dst") if step.forward else ("dst", "src")
             edges = edges_of(graph, step.edge).select(F.col(near).alias(_q(step.parent)), F.col(far).alias(_q(v)))
             edges = _allowed(graph, pattern, edges, v, _q(v))
-            rows = _allowed(graph, pattern, edges, step.parent, _q(step.parent)).withColumn(WEIGHT, one) if rows is None else rows.join(edges, _q(step.parent))
+            if rows is None:
+                rows = _allowed(graph, pattern, edges, step.parent, _q(step.parent)).withColumn(WEIGHT, one)
+            elif partial_sums and cap is None and not step.closing and v not in step.live:
+                # a leaf: its edges are counted before the join, which then adds no rows
+                counted = edges.groupBy(_q(step.parent)).agg(F.count("*").alias("_n"))
+                rows = rows.join(counted, _q(step.parent)).withColumn(WEIGHT, F.col(WEIGHT) * F.col("_n")).drop("_n")
+            else:
+                rows = rows.join(edges, _q(step.parent))
         bound.append(v)
         rows = _closed(graph, rows, step.closing)
         if cap is not None:
