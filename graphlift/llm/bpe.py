@@ -111,7 +111,7 @@ class Splitter:
         counts: list[np.ndarray] = []
         seen = np.zeros(0, np.uint64)
         number = np.zeros(0, np.int64)
-        for a, b in vector.groups(plain, 2_000_000):
+        for a, b in vector.groups(plain):
             joined, code, starts, ends, per = self.spans(plain[a:b])
             keys, first, inverse = np.unique(vector.slice_hashes(code, starts, ends), return_index=True, return_inverse=True)
             place = np.minimum(np.searchsorted(seen, keys), max(len(seen) - 1, 0))
@@ -202,7 +202,7 @@ def _texts(blobs: list[bytes]) -> list[str]:
     return [t.decode("utf-8", "replace") for t in blobs]
 
 
-def encode(docs: DataFrame, tokenizer_path: str | None = None, key: str = "doc_id", text: str = "text", outputs: str = "digest", chunk_bytes: int = frames.CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str | None = None, key: str = "doc_id", text: str = "text", outputs: str = "digest", chunk_bytes: int = 8 << 20) -> DataFrame:
     """Encodes and decodes docs.text. outputs "digest": key, n_tokens, ids_sha256, decoded_sha256; "ids": key, ids array<int>, decoded string.
 
     The tokenizer's file is read once on the driver and sent with the code (some MB, fixed by the
@@ -269,9 +269,9 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, key: str = "doc_i
                 rows["decoded"].append(whole)
         return frames.as_table(rows, out_schema)
 
-    asked = chunks.groupBy("chunk").applyInArrow(split, "bucket int, chunk int, blob binary")
-    answered = asked.groupBy("bucket").applyInArrow(encode_bucket, "bucket int, chunk int, blob binary")
-    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(join_back, schema)
+    asked = chunks.groupBy("chunk").applyInArrow(frames.tidy(split), "bucket int, chunk int, blob binary")
+    answered = asked.groupBy("bucket").applyInArrow(frames.tidy(encode_bucket), "bucket int, chunk int, blob binary")
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(frames.tidy_pair(join_back), schema)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

@@ -225,7 +225,7 @@ def formatted(conversations: DataFrame, template: Template = render, decode: Cal
         if out:
             yield batch(out)
 
-    return dealt.mapInArrow(run, ddl)
+    return frames.map_arrow(dealt, run, ddl)
 
 
 #: The conversation of the contract whose texts hold control strings.
@@ -249,7 +249,7 @@ def op2_chat_format(spark, sf_dir: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
-    return found.select("conv_id", "formatted", "spans", "loss_text", "rewrites").mapInArrow(digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, rewrites bigint, span_chars bigint")
+    return frames.map_arrow(found.select("conv_id", "formatted", "spans", "loss_text", "rewrites"), digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, rewrites bigint, span_chars bigint")
 
 
 #: n_turns to loss_sha256 follow from the table; formatted_chars from the escapes of the template.

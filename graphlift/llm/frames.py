@@ -14,10 +14,26 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 16 << 20
 
 
+#: Arrow batches hold so many bytes at most, unless the session says otherwise; Spark's own limit is 64 MB.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder. Long texts make batches of the default size large on both sides of the pipe, so they are cut by bytes."""
+    if spark.conf.get(BATCH) == "67108864b":
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, with as many signs more as it takes that df has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def fold(column: str, n: int):
     """crc32 of a column as text, modulo n; null where the column is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -48,6 +64,53 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(batches):
+    """Passes on an iterator's batches; at its end this worker, which Spark keeps for later tasks, gives unused memory back to the system."""
+    yield from batches
+    release()
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(function):
+    """A function of one group whose memory goes back to the system after each group; for groups of some MB."""
+
+    def run(table):
+        try:
+            return function(table)
+        finally:
+            release()
+
+    return run
+
+
+def tidy_pair(function):
+    """As tidy(), for cogrouped tables."""
+
+    def run(left, right):
+        try:
+            return function(left, right)
+        finally:
+            release()
+
+    return run
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow(), whose workers give their memory back at each task's end."""
+    return df.mapInArrow(lambda batches: freed(function(batches)), schema)
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 of a text column, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -91,7 +154,7 @@ def chunked(docs: DataFrame, n_chunks: int, keep: list[str], column: str = "text
         if held:
             yield flush()
 
-    return rows.mapInArrow(pack, "chunk int, block binary")
+    return map_arrow(rows, pack, "chunk int, block binary")
 
 
 def unpack_rows(blocks: list[bytes]) -> list[list]:
@@ -116,5 +179,12 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def with_fields(df: DataFrame, ddl: str):
+    """df's schema and more fields; df keeps its own (StructType.add changes the schema that it is called on)."""
+    from pyspark.sql.types import StructType
+
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def as_table(columns: dict, schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

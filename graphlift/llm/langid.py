@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from . import frames, vector
 
 UNKNOWN = "und"
+#: Characters that are taken apart at once.
+_SPAN = 400_000
 _cache: dict = {}
 
 
@@ -104,7 +106,7 @@ class Profiles:
         """(language, score) of each; the score is 1 less the distance as a part of the largest possible one."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         whole = [t or "" for t in texts]
-        for a, b in vector.groups(whole):
+        for a, b in vector.groups(whole, _SPAN):
             grams = Grams(whole[a:b])
             for i in range(a, b):
                 best = ranked(*grams.of(i - a), self.size)
@@ -135,7 +137,7 @@ def learn(docs: DataFrame, train: Column, size: int = 400, sample_per_language:
         total: dict[tuple[str, int], int] = {}
         for batch in batches:
             texts, langs = batch.column(text).to_pylist(), batch.column(lang).to_pylist()
-            for a, b in vector.groups(texts):
+            for a, b in vector.groups(texts, _SPAN):
                 grams = Grams(texts[a:b])
                 for i in range(a, b):
                     own = total.setdefault(langs[i], {})
@@ -144,7 +146,7 @@ def learn(docs: DataFrame, train: Column, size: int = 400, sample_per_language:
         for name, own in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
 
-    summed = rows.select(text, F.col(lang).alias(lang)).mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    summed = frames.map_arrow(rows.select(text, lang), count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = summed.withColumn("rank", rank).where(F.col("rank") <= size).collect()
     profiles: dict[str, list[int]] = {name: [] for name in counts}
@@ -156,16 +158,17 @@ def learn(docs: DataFrame, train: Column, size: int = 400, sample_per_language:
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list[str] | None = None, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """Adds the predicted language and its score to the kept columns (all, by default). Reads nothing but the text."""
     kept = docs.columns if keep is None else keep
-    rows = docs.select(*kept, F.col(text).alias("_text"))
-    schema = rows.drop("_text").schema.add(lang_name, "string").add(score_name, "double")
+    hidden = frames.fresh("_text", docs)
+    rows = docs.select(*kept, F.col(text).alias(hidden))
+    schema = frames.with_fields(rows.drop(hidden), f"`{lang_name}` string, `{score_name}` double")
 
     def label(batches):
         for batch in batches:
-            names, scores = profiles.predict(batch.column("_text").to_pylist())
+            names, scores = profiles.predict(batch.column(hidden).to_pylist())
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], lang_name, score_name])
 
-    return rows.mapInArrow(label, schema)
+    return frames.map_arrow(rows, label, schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

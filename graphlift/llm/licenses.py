@@ -239,7 +239,7 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", base
                     rows[f].append(v)
             yield from frames.as_table(rows, schema).to_batches()
 
-    return docs.select(key, text).mapInArrow(find, ddl)
+    return frames.map_arrow(docs.select(key, text), find, ddl)
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ class Sequence:
 
     def __init__(self, texts: list[bytes]):
         parts, counts = [], []
-        for a, b in vector.groups(texts, 1_000_000):
+        for a, b in vector.groups(texts):
             words = vector.Words(texts[a:b])
             parts.append(words.hashes())
             counts.append(words.counts())
@@ -231,8 +231,8 @@ def score(docs: DataFrame, train, min_count: int = 2, discount: float = 0.75, ke
     rows = docs.select(F.col(key), F.coalesce(train, F.lit(False)).alias("_train"), F.col(text))
     chunks = frames.chunked(rows, n, [key, "_train"], text)
     by_chunk = chunks.groupBy("chunk")
-    arcs = frames.written(by_chunk.applyInArrow(_ask_bigrams(n), _REPLY).groupBy("to").applyInArrow(_answer_bigrams(min_count), _REPLY))
-    words = frames.written(by_chunk.cogroup(arcs.groupBy("to")).applyInArrow(_ask_words(n), _REPLY).groupBy("to").applyInArrow(_answer_words, _REPLY))
+    arcs = frames.written(by_chunk.applyInArrow(frames.tidy(_ask_bigrams(n)), _REPLY).groupBy("to").applyInArrow(frames.tidy(_answer_bigrams(min_count)), _REPLY))
+    words = frames.written(by_chunk.cogroup(arcs.groupBy("to")).applyInArrow(frames.tidy_pair(_ask_words(n)), _REPLY).groupBy("to").applyInArrow(frames.tidy(_answer_words), _REPLY))
     share = F.split(F.col("counts").cast("string"), ",")
     total = words.where(F.length("counts") > 0).select(share[0].cast("bigint").alias("n"), share[1].cast("bigint").alias("v")).agg(F.sum("n"), F.sum("v")).first()
     n_train, n_words = total[0] or 0, total[1] or 0
@@ -252,7 +252,7 @@ def score(docs: DataFrame, train, min_count: int = 2, discount: float = 0.75, ke
         m = len(keys)
         return frames.as_table({key: keys, "train": learn, "n_tokens": seq.sizes - 1, "n_known": known, "train_tokens": np.full(m, n_train), "vocabulary": np.full(m, n_words), "base_score": base, "score": scores}, out_schema)
 
-    return by_chunk.cogroup(arcs.unionByName(words).groupBy("to")).applyInArrow(traverse, ddl)
+    return by_chunk.cogroup(arcs.unionByName(words).groupBy("to")).applyInArrow(frames.tidy_pair(traverse), ddl)
 
 
 def op7_lm_score(spark, sf_dir: str) -> DataFrame:

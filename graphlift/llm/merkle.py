@@ -173,7 +173,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint")
             prints = [f for i, j in vector.groups(texts) for f in Forest(texts[i:j]).fingerprints()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.string())], [*batch.schema.names[:-1], name])
 
-    return docs.select(*docs.columns, F.col(text).alias("_text")).mapInArrow(add, docs.schema.add(name, "string"))
+    return frames.map_arrow(docs.select(*docs.columns, F.col(text).alias(frames.fresh("_text", docs))), add, frames.with_fields(docs, f"`{name}` string"))
 
 
 def edited(text: str, other: str) -> str:
@@ -262,13 +262,13 @@ def neighbours(docs: DataFrame, per_batch, schema: str, key: str = "doc_id", tex
                     done = r  # only the first guest follows; the rest repeat its key
                 elif done != r:
                     held = (r, k, t)
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield flush()
                     size = 0
         if rows:
             yield flush()
 
-    return dealt.mapInArrow(run, schema)
+    return frames.map_arrow(dealt, run, schema)
 
 
 def compare(keys: list, texts: list[str], after: list[str]) -> tuple:

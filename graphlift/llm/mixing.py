@@ -91,7 +91,7 @@ def shard_counts(slots: list[int], shard_slots: int, seed: int) -> np.ndarray:
             size -= int(more.sum())
         rows.append(drawn)
         left -= drawn
-    return np.array(rows, np.int64).reshape(-1, len(slots))
+    return np.array(rows, np.int64).reshape(len(rows), len(slots))
 
 
 @dataclass

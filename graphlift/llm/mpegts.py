@@ -153,17 +153,19 @@ def _read_stamp(b: bytes) -> int:
 
 
 def _steps(data: bytes) -> tuple[np.ndarray, int]:
-    """Offsets of packets, and how many bytes aren't in one. A sync byte counts if the next packet starts with one, or the data ends there."""
+    """Offsets of packets, and how many bytes aren't in one. In step, a sync byte is enough; out of step, the next packet must start with one too, or the data end."""
     n = len(data) // PACKET
     array = np.frombuffer(data, np.uint8)
     if n * PACKET == len(data) and (array[::PACKET] == SYNC).all():
         return np.arange(n) * PACKET, 0
-    offsets, at = [], 0
+    offsets, at, in_step = [], 0, False
     while at + PACKET <= len(data):
-        if data[at] == SYNC and (at + PACKET == len(data) or at + PACKET < len(data) and data[at + PACKET] == SYNC or offsets and offsets[-1] + PACKET == at and len(data) - at < 2 * PACKET):
+        if data[at] == SYNC and (in_step or data[at + PACKET : at + PACKET + 1] in (b"", b"\x47")):
             offsets.append(at)
             at += PACKET
+            in_step = True
         else:
+            in_step = False
             at = data.find(b"\x47", at + 1)
             if at < 0:
                 break
@@ -304,15 +306,16 @@ def padded(text: bytes, unit: int = 64) -> bytes:
 
 def with_media(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
     """Adds the payload column (binary or text; null: empty) as a transport stream."""
-    rows = df.withColumn("_payload", df[payload].cast("binary"))
-    schema = df.schema.add(media, "binary")
+    hidden = frames.fresh("_payload", df)
+    rows = df.withColumn(hidden, df[payload].cast("binary"))
+    schema = frames.with_fields(df, f"`{media}` binary")
 
     def pack(batches):
         for batch in batches:
-            streams = [mux(x) for x in frames.strings(batch.column("_payload"))]
+            streams = [mux(x) for x in frames.strings(batch.column(hidden))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(streams, pa.binary())], schema.names)
 
-    return rows.mapInArrow(pack, schema)
+    return frames.map_arrow(rows, pack, schema)
 
 
 #: What read_media() adds, besides the payload.
@@ -321,18 +324,15 @@ FACTS = "packets bigint, skipped_bytes bigint, lost bigint, repeated bigint, bad
 
 def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """Parses stored streams: the kept columns, the reassembled payload of the first stream, FACTS and a short feature."""
-    from pyspark.sql.types import StructType
-
     kept = [c for c in df.columns if c != media] if keep is None else keep
-    rows = df.select(*kept, df[media].alias("_media"))
-    schema = rows.drop("_media").schema
-    for f in StructType.fromDDL("payload binary, " + FACTS + ", feature string").fields:
-        schema = schema.add(f)
+    hidden = frames.fresh("_media", df)
+    rows = df.select(*kept, df[media].alias(hidden))
+    schema = frames.with_fields(rows.drop(hidden), "payload binary, " + FACTS + ", feature string")
     arrow = frames.arrow_schema("payload binary, " + FACTS + ", feature string")
 
     def parse(batches):
         for batch in batches:
-            found = [demux(x) for x in frames.strings(batch.column("_media"))]
+            found = [demux(x) for x in frames.strings(batch.column(hidden))]
             values = {
                 "payload": [s.payload() for s in found],
                 "packets": [s.packets for s in found],
@@ -346,7 +346,7 @@ def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = Non
             }
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(values[f.name], f.type) for f in arrow)], schema.names)
 
-    return rows.mapInArrow(parse, schema)
+    return frames.map_arrow(rows, parse, schema)
 
 
 def op1_mpegts(spark, sf_dir: str) -> DataFrame:

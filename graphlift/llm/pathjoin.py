@@ -41,7 +41,7 @@ _MAP_PART = 1 << 15
 def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word shingles."""
     out: list[np.ndarray] = []
-    for a, b in vector.groups(texts, 1_000_000):
+    for a, b in vector.groups(texts):
         split = vector.Words(texts[a:b])
         h = split.hashes()
         n = max(0, len(h) - words + 1)
@@ -109,7 +109,7 @@ def _profiles(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SIGNATURE, pa.int32()), pa.array(sign.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema.field(0).type), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), lists.cast(schema.field(3).type)], schema=schema)
 
-    return docs.select(key, text).mapInArrow(profile, ddl)
+    return frames.map_arrow(docs.select(key, text), profile, ddl)
 
 
 def _leaves(nodes: DataFrame, runs: int, levels: int, limit: int) -> DataFrame:
@@ -205,7 +205,7 @@ def _sets(docs: DataFrame, profiles: DataFrame, members: DataFrame, key: str, te
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([0] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
-    every = docs.select(text).mapInArrow(sets, "node binary, place bigint, tokens binary")
+    every = frames.map_arrow(docs.select(text), sets, "node binary, place bigint, tokens binary")
     return every.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from . import bpe, frames, langid, mixing, pathjoin, toxicity
 
-_ROW = "_row_of_stage"
-
-
 def _row() -> Column:
     """Names a row by its key and text, without nulls; the least one of a group has its least key."""
     return F.struct(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id"), F.xxhash64("text").alias("digest"))
@@ -24,33 +21,37 @@ def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = langid.learn(docs, F.coalesce(frames.fold("doc_id", 4), F.lit(0)) != 2)
     if not profiles.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return langid.predict(docs, profiles, lang_name="_lang", score_name="_score").where(F.col("_lang") != langid.UNKNOWN).select(*docs.columns)
+    lang, score = frames.fresh("_lang", docs), frames.fresh("_score", docs)
+    return langid.predict(docs, profiles, lang_name=lang, score_name=score).where(F.col(lang) != langid.UNKNOWN).select(*docs.columns)
 
 
 def toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose score reaches the threshold. Learned from the labelled rows of docs."""
     model = toxicity.learn(docs, frames.read(spark, sf_dir, "labels"), F.coalesce(frames.fold("doc_id", 4), F.lit(0)) != 2)
-    return toxicity.score(docs, model, score_name="_score").where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = frames.fresh("_score", docs)
+    return toxicity.score(docs, model, score_name=score, located=False).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: the one with the least key."""
-    rows = docs.withColumn(_ROW, _row())
-    found = pathjoin.join(rows, key=_ROW)
-    first = found.where(F.col(_ROW) == F.col("class_id")).select(_ROW).distinct()
-    return rows.join(first, _ROW, "left_semi").dropDuplicates([_ROW]).select(*docs.columns)
+    row = frames.fresh("_row", docs)
+    rows = docs.withColumn(row, _row())
+    found = pathjoin.join(rows, key=row)
+    first = found.where(F.col(row) == F.col("class_id")).select(row).distinct()
+    return rows.join(first, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words: taken / size, rounded up or down by a hash of the row so
     that the sources' shares hold on the average."""
-    rows = docs.withColumn(_ROW, _row())
-    taken, _, _ = mixing.mix(rows, key=_ROW)
-    drawn = F.pmod(F.xxhash64(_ROW, F.lit("rounding")), F.lit(1 << 20)) / float(1 << 20)
-    times = taken.where(F.col("size") > 0).groupBy(_ROW).agg(F.sum(F.col("taken") / F.col("size")).alias("_share"))
-    times = times.select(_ROW, F.floor(F.col("_share") + drawn).cast("int").alias("_times")).where(F.col("_times") > 0)
-    kept = rows.dropDuplicates([_ROW]).join(times, _ROW)
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    row, times, copy = frames.fresh("_row", docs), frames.fresh("_times", docs), frames.fresh("_copy", docs)
+    rows = docs.withColumn(row, _row())
+    taken, _, _ = mixing.mix(rows, key=row)
+    drawn = F.pmod(F.xxhash64(row, F.lit("rounding")), F.lit(1 << 20)) / float(1 << 20)
+    shares = taken.where(F.col("size") > 0).groupBy(row).agg(F.sum(F.col("taken") / F.col("size")).alias("_share"))
+    counts = shares.select(row, F.floor(F.col("_share") + drawn).cast("int").alias(times)).where(F.col(times) > 0)
+    kept = rows.dropDuplicates([row]).join(counts, row)
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def bpe_ids(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

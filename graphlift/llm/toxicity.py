@@ -164,20 +164,22 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int =
     return fit([texts[i] for i in order], y[order] if order else y)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, score_name: str = "score") -> DataFrame:
-    """Adds the score and the worst sentence (its index, score, first and last byte) to the kept columns (all, by default)."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, score_name: str = "score", located: bool = True) -> DataFrame:
+    """Adds the score and, if `located`, the worst sentence (its index, score, first and last byte) to the kept columns (all, by default)."""
     kept = docs.columns if keep is None else keep
-    rows = docs.select(*kept, F.col(text).alias("_text"))
-    schema = rows.drop("_text").schema.add(score_name, "double").add("worst_sentence", "integer").add("worst_score", "double").add("worst_from", "long").add("worst_to", "long")
+    hidden = frames.fresh("_text", docs)
+    rows = docs.select(*kept, F.col(text).alias(hidden))
+    schema = frames.with_fields(rows.drop(hidden), f"`{score_name}` double" + (", worst_sentence int, worst_score double, worst_from bigint, worst_to bigint" if located else ""))
 
     def apply(batches):
         for batch in batches:
-            scores, worst = model.score(frames.strings(batch.column("_text")))
+            scores, worst = model.score(frames.strings(batch.column(hidden)))
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             index, own, start, end = zip(*worst, strict=True) if worst else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(scores), pa.array(index, pa.int32()), pa.array(own, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], schema.names)
+            found = [pa.array(index, pa.int32()), pa.array(own, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(scores), *(found if located else [])], schema.names)
 
-    return rows.mapInArrow(apply, schema)
+    return frames.map_arrow(rows, apply, schema)
 
 
 THRESHOLD = 0.3

@@ -99,7 +99,7 @@ def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def groups(texts: list, limit: int = 4_000_000):
+def groups(texts: list, limit: int = 1_000_000):
     """Runs (from, to) of texts of about `limit` units together; a longer text is a run by itself."""
     at = size = 0
     for i, t in enumerate(texts):
