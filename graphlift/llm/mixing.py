@@ -24,7 +24,7 @@ from . import frames
 
 BLOCK = 64
 #: Rows of a source are put in order within buckets of about so many, so no source is sorted by one task.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
