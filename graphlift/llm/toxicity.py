@@ -4,6 +4,8 @@ A sentence (up to . ! ? or a line's end) has z = b + sum of its words' weights a
 The document's probability is the noisy-or 1 - prod(1 - p). Weights and b are fitted to document
 labels by gradient descent through the noisy-or, so that the sentences' own scores locate the offence.
 
+A word counts as itself and by its first 4 and 5 bytes, so that forms of one stem are learned together.
+
 Words: runs of a-z, 0-9 and non-ASCII bytes, A-Z lower-cased. Null or empty texts have no sentence
 and score 0. Repeated rows stay; other columns are ignored. Texts are taken whole.
 """
@@ -21,6 +23,8 @@ from . import frames, vector
 
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Longer words also count by beginnings of so many bytes.
+STEMS = (4, 5)
 _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F, 0x0A]] = True
 
@@ -30,7 +34,15 @@ class Bags:
 
     def __init__(self, texts: list[bytes]):
         words = vector.Words(texts, WORD)
-        self.hashes = words.hashes()
+        size = words.ends - words.starts
+        # signs of each word: itself and its stems; 0 stands for none
+        self.signs = [words.hashes()]
+        for k in STEMS:
+            longer = size > k
+            stem = np.zeros(len(size), np.uint64)
+            at = words.starts[longer]
+            stem[longer] = vector.slice_hashes(words.bytes, at, at + k) ^ np.uint64(0xA5A5A5A500000000 + k)
+            self.signs.append(stem)
         self.starts, self.ends = words.starts, words.ends
         self.text_at = words.text_at
         stops = np.concatenate(([0], np.cumsum(_STOP[words.bytes])))[words.starts]
@@ -41,6 +53,12 @@ class Bags:
         self.text_of = rows[self.first_word[:-1]]
         self.first_sentence = np.searchsorted(self.text_of, np.arange(len(texts) + 1))
 
+    def flat(self, of_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All signs, and what belongs to the sentence of each."""
+        of_word = np.repeat(of_sentence, np.diff(self.first_word))
+        kept = [h != 0 for h in self.signs]
+        return np.concatenate([h[k] for h, k in zip(self.signs, kept, strict=True)]), np.concatenate([of_word[k] for k in kept])
+
 
 @dataclass
 class Model:
@@ -75,7 +93,7 @@ class Model:
 
     def sentences(self, bags: Bags) -> np.ndarray:
         """log odds of each sentence."""
-        return self.bias + vector.row_sums(self.of(bags.hashes), bags.first_word)
+        return self.bias + vector.row_sums(sum(self.of(h) for h in bags.signs), bags.first_word)
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[dict]]:
         """Noisy-or of each text; its worst sentence: index, score, first and last byte (-1 and 0 where it has none)."""
@@ -100,68 +118,143 @@ def _logistic(z):
     return np.exp(-np.logaddexp(0, -z))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, min_docs: int = 4, min_chi2: float = 20.0, rounds: int = 300, rate: float = 0.2, decay: float = 1e-4) -> Model:
-    """Gradient descent (Adam, whole batch) on the noisy-or likelihood.
-
-    Weights go to the words of min_docs texts or more whose presence and the label depend on each other
-    by a chi-square of min_chi2 or more (20: 8 in a million words by chance); else the many words that
-    occur by chance in a few toxic texts would be learned by heart. Repeated texts are fitted once.
-    """
-    if len(texts):
-        last = {(t, int(y)): i for i, (t, y) in enumerate(zip(texts, labels, strict=True))}
-        texts, labels = [texts[i] for i in last.values()], labels[list(last.values())]
-    if not len(texts) or labels.min() == labels.max():
-        return Model()
+def word_counts(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signs of words, in how many texts each is, and in how many labelled 1."""
     bags = Bags(texts)
-    sentence = np.repeat(np.arange(len(bags.text_of)), np.diff(bags.first_word))
-    words, inverse = np.unique(bags.hashes, return_inverse=True)
-    pairs = np.unique(inverse * np.int64(len(texts)) + bags.text_of[sentence])
+    every, of = bags.flat(bags.text_of)
+    words, inverse = np.unique(every, return_inverse=True)
+    text = of
+    pairs = np.unique(inverse * np.int64(len(texts)) + text)
     there, of = pairs // len(texts), pairs % len(texts)
-    n_word = np.bincount(there, minlength=len(words))
-    n_both = np.bincount(there, labels[of], len(words))
-    n_one, n_all = labels.sum(), len(texts)
-    apart = n_both * n_all - n_word * float(n_one)
-    chi2 = apart * apart * n_all / np.maximum(n_word * (n_all - n_word) * float(n_one) * (n_all - n_one), 1e-9)
-    common = (n_word >= min_docs) & (chi2 >= min_chi2)
-    number = np.cumsum(common) - 1
-    keep = common[inverse]
-    sentence, feature = sentence[keep], number[inverse[keep]]
-    n, m = int(common.sum()), len(bags.text_of)
-    y = labels.astype(float)
+    return words, np.bincount(there, minlength=len(words)), np.bincount(there, labels[of], len(words)).astype(np.int64)
+
+
+@dataclass
+class Sparse:
+    """Texts as their numbers of sentences and the learned words of those that have some: sentence `s` has word `f`, text by text."""
+
+    labels: np.ndarray
+    n_sentences: np.ndarray
+    text_of: np.ndarray  # of each sentence with learned words
+    sentence: np.ndarray  # of each learned word
+    feature: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes], labels: np.ndarray, words: np.ndarray) -> Sparse:
+        bags = Bags(texts)
+        signs, of = bags.flat(np.arange(len(bags.text_of)))
+        at = np.minimum(np.searchsorted(words, signs), max(len(words) - 1, 0))
+        hit = words[at] == signs if len(words) else np.zeros(len(signs), bool)
+        order = np.argsort(of[hit], kind="stable")
+        held, sentence = np.unique(of[hit][order], return_inverse=True)
+        return cls(labels, np.diff(bags.first_sentence), bags.text_of[held], sentence, at[hit][order])
+
+    def rows(self) -> list[tuple]:
+        """(label, sentences, sentence of each word, word) for each text; sentences count from 0 in each."""
+        n = len(self.labels)
+        first = np.searchsorted(self.text_of, np.arange(n + 1))
+        at = np.searchsorted(self.sentence, first)
+        return [(int(self.labels[i]), int(self.n_sentences[i]), (self.sentence[at[i] : at[i + 1]] - first[i]).tolist(), self.feature[at[i] : at[i + 1]].tolist()) for i in range(n)]
+
+    @classmethod
+    def from_rows(cls, rows: list[tuple]) -> Sparse:
+        text_of, sentence, feature, n = [], [], [], 0
+        for i, (_, _, own, words) in enumerate(rows):
+            held = max(own, default=-1) + 1
+            text_of += [i] * held
+            sentence += [n + s for s in own]
+            feature += words
+            n += held
+        return cls(*(np.array(x, np.int64) for x in ([r[0] for r in rows], [r[1] for r in rows], text_of, sentence, feature)))
+
+
+def descend(data: Sparse, words: np.ndarray, rounds: int = 300, rate: float = 0.2, decay: float = 1e-4) -> Model:
+    """Gradient descent (Adam, whole batch) on the noisy-or likelihood. Sentences without a learned word all have z = b."""
+    y = data.labels.astype(float)
+    if not len(y) or y.min() == y.max():
+        return Model()
+    n, m = len(words), len(data.text_of)
+    bare = data.n_sentences - np.bincount(data.text_of, minlength=len(y))
     theta = np.zeros(n + 1)
     theta[-1] = -6.0
     first, second = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(sentence, theta[feature], m)
-        p = _logistic(z)
-        none = np.exp(vector.row_sums(-np.logaddexp(0, z), bags.first_sentence))
+        b = theta[-1]
+        z = b + np.bincount(data.sentence, theta[data.feature], m)
+        none = np.exp(-bare * np.logaddexp(0, b) - np.bincount(data.text_of, np.logaddexp(0, z), len(y)))
         none = np.minimum(none, 1 - 1e-12)
-        factor = np.where(y == 1, -none / (1 - none), 1.0)
-        slope = factor[bags.text_of] * p / len(y)
-        grad = np.append(np.bincount(feature, slope[sentence], n), slope.sum())
+        factor = np.where(y == 1, -none / (1 - none), 1.0) / len(y)
+        slope = factor[data.text_of] * _logistic(z)
+        grad = np.append(np.bincount(data.feature, slope[data.sentence], n), slope.sum() + (factor * bare).sum() * _logistic(b))
         grad[:-1] += decay * theta[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         theta -= rate * (0.05 + 0.95 * (1 - step / rounds)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Model(words[common], theta[:-1], float(theta[-1]))
-
-
-def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = 6000, sample_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fits on the labelled rows where `train` holds: about sample_docs of them and sample_bytes of text at most, chosen by a
-    hash of the key (all, where there are fewer). That sample is all that comes to the driver; a key
-    with several labels counts as labelled 1 if one of them is; null labels don't count."""
-    marks = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
-    rows = docs.where(train).select(key, text)
-    # lengths are joined here, not texts
-    n, size = rows.select(key, F.octet_length(text).alias("_bytes")).join(marks, key).agg(F.count("*"), F.sum("_bytes")).first()
-    share = min(1.0, sample_docs / max(n, 1), sample_bytes / max(size or 0, 1))
+    return Model(words, theta[:-1], float(theta[-1]))
+
+
+#: Words of MIN_DOCS texts or more get a weight if their presence and the label depend on each other by a chi-square of
+#: MIN_CHI2 (20: 8 in a million words by chance); else the many words that occur by chance in a few toxic texts would be learned by heart.
+MIN_DOCS, MIN_CHI2 = 4, 20.0
+
+
+def _chi2(n_word, n_both, n_all, n_one):
+    """Chi-square of the table of word and label; works on arrays and on columns."""
+    apart = n_both * n_all - n_word * n_one
+    return apart * apart * n_all / (n_word * (n_all - n_word + 1e-9) * n_one * (n_all - n_one))
+
+
+def fit(texts: list[bytes], labels: np.ndarray) -> Model:
+    """Fits on texts in memory. Repeated texts count once."""
+    if not len(texts) or labels.min() == labels.max():
+        return Model()
+    last = {(t, int(y)): i for i, (t, y) in enumerate(zip(texts, labels, strict=True))}
+    texts, labels = [texts[i] for i in last.values()], labels[list(last.values())]
+    words, n_word, n_both = word_counts(texts, labels)
+    keep = (n_word >= MIN_DOCS) & (_chi2(n_word.astype(float), n_both, float(len(texts)), float(labels.sum())) >= MIN_CHI2)
+    return descend(Sparse.of(texts, labels, words[keep]), words[keep])
+
+
+def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = 40_000, most_words: int = 50_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """Fits on the labelled rows where `train` holds: about sample_docs of them, chosen by a hash of the key (all, where there are fewer).
+
+    Words are counted and chosen by Spark (the most_words of the highest chi-square); only those words of the sampled texts
+    come to the driver, some numbers for each text. A key with several labels counts as labelled 1 if one of them is; null labels don't count.
+    """
+    marks = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
+    rows = docs.where(train & F.col(text).isNotNull()).select(key, F.col(text).alias("_text"))
+    n = rows.select(key).join(marks, key, "left_semi").count()
     steps = 1 << 24
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("label sample")), F.lit(steps)) < int(steps * share)
-    picked = rows.where(draw).join(marks, key).select(text, "_label").toArrow()
-    texts = frames.strings(picked.column(0))
-    y = np.array(picked.column(1).to_pylist(), np.int64)
-    order = sorted(range(len(texts)), key=lambda i: (texts[i], y[i]))  # the fit doesn't hang on the order of arrival
-    return fit([texts[i] for i in order], y[order] if order else y)
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit("label sample")), F.lit(steps)) < int(steps * min(1.0, sample_docs / max(n, 1)))
+    picked = rows.where(draw).join(marks, key)
+    # repeated texts count once
+    picked = frames.written(picked.groupBy(F.xxhash64("_text"), "_label").agg(F.first("_text").alias("_text")).select("_text", "_label"))
+    totals = picked.agg(F.count("*"), F.sum("_label")).first()
+    n_all, n_one = totals[0] or 0, totals[1] or 0
+    if not 0 < n_one < n_all:
+        return Model()
+
+    def count(batches):
+        for batch in batches:
+            texts, y = frames.strings(batch.column(0)), batch.column(1).to_numpy()
+            for a, b in vector.groups(texts):
+                words, n_word, n_both = word_counts(texts[a:b], y[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n_word), pa.array(n_both)], ["word", "n", "pos"])
+
+    counted = frames.map_arrow(picked, count, "word bigint, n bigint, pos bigint").groupBy("word").agg(F.sum("n").cast("double").alias("n"), F.sum("pos").cast("double").alias("pos"))
+    chosen = counted.where(F.col("n") >= MIN_DOCS).withColumn("chi2", _chi2(F.col("n"), F.col("pos"), F.lit(float(n_all)), F.lit(float(n_one)))).where(F.col("chi2") >= MIN_CHI2)
+    words = np.sort(np.array([r["word"] for r in chosen.orderBy(F.desc("chi2"), "word").limit(most_words).collect()], np.int64).view(np.uint64))
+
+    def reduce(batches):
+        for batch in batches:
+            texts, y = frames.strings(batch.column(0)), batch.column(1).to_numpy()
+            for a, b in vector.groups(texts):
+                cols = list(zip(*Sparse.of(texts[a:b], y[a:b], words).rows(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["y", "n", "sentence", "feature"])
+
+    table = frames.map_arrow(picked, reduce, "y int, n bigint, sentence array<bigint>, feature array<bigint>").toArrow()
+    # the fit doesn't hang on the order of arrival
+    return descend(Sparse.from_rows(sorted(zip(*(c.to_pylist() for c in table.columns), strict=True))), words)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, score_name: str = "score", located: bool = True) -> DataFrame:

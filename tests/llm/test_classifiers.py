@@ -72,8 +72,8 @@ def brute_noisy_or(model, text):
     for sentence in re.split(rb"[.!?\n]", text.lower() if text.isascii() else text):
         ws = re.findall(rb"[0-9a-z\x80-\xff]+", sentence)
         if ws:
-            hashes = toxicity.vector.Words([b" ".join(ws)], toxicity.WORD).hashes()
-            z = model.bias + sum(weight.get(int(h), 0.0) for h in hashes)
+            signs = toxicity.Bags([b" ".join(ws)]).signs
+            z = model.bias + sum(weight.get(int(h), 0.0) for part in signs for h in part)
             none *= 1 - 1 / (1 + np.exp(-z))
     return 1 - none
 
