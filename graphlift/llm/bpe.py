@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Texts are dealt into chunks of about 16 MB and split into the tokenizer's words (pre-tokens).
+1. Texts are dealt into chunks of about 12 MB and split into the tokenizer's words (pre-tokens).
 2. Each chunk sends its distinct words, grouped by a hash, to the word buckets; a bucket encodes
    each distinct word of the corpus once and sends every chunk the ids of its words.
 3. A chunk joins the ids back by position and decodes through the id-to-piece table (as many rows as the vocabulary has).
@@ -202,7 +202,7 @@ def _texts(blobs: list[bytes]) -> list[str]:
     return [t.decode("utf-8", "replace") for t in blobs]
 
 
-def encode(docs: DataFrame, tokenizer_path: str | None = None, key: str = "doc_id", text: str = "text", outputs: str = "digest", chunk_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str | None = None, key: str = "doc_id", text: str = "text", outputs: str = "digest", chunk_bytes: int = 12 << 20) -> DataFrame:
     """Encodes and decodes docs.text. outputs "digest": key, n_tokens, ids_sha256, decoded_sha256; "ids": key, ids array<int>, decoded string.
 
     The tokenizer's file is read once on the driver and sent with the code (some MB, fixed by the
