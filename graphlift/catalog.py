@@ -285,7 +285,8 @@ def _colored(spark, sf_dir, k: int = 8, name: str = "commerce"):
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    # adding 0 makes one zero of both
+    return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @_query("stats_color_size", _sql("SELECT color, count(*)::BIGINT AS size FROM colors GROUP BY 1", COMMERCE, _hashed(8)))
@@ -319,7 +320,9 @@ _EDGE_DEG = [
   min(d) FILTER (WHERE is_out) AS lo, min(d) FILTER (WHERE NOT is_out) AS li, max(d) FILTER (WHERE is_out) AS ho, max(d) FILTER (WHERE NOT is_out) AS hi,
   count(*) FILTER (WHERE is_out) AS no, count(*) FILTER (WHERE NOT is_out) AS ni
   FROM per JOIN sizes USING (c1) GROUP BY ALL)""",
-    "cor AS (SELECT edge_label, vlabel, c1, c2, corr(x, y) FILTER (WHERE is_out) AS ro, corr(x, y) FILTER (WHERE NOT is_out) AS ri FROM flows GROUP BY ALL)",
+    """moments AS (SELECT edge_label, vlabel, c1, c2, is_out, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM flows GROUP BY ALL)""",
+    """cor AS (SELECT edge_label, vlabel, c1, c2, max(r) FILTER (WHERE is_out) AS ro, max(r) FILTER (WHERE NOT is_out) AS ri FROM (SELECT edge_label, vlabel, c1, c2, is_out,
+  CASE WHEN (n * sxx - sx * sx) * (n * syy - sy * sy) > 0 THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) ELSE 0 END AS r FROM moments) t GROUP BY ALL)""",
     """edge_deg AS (SELECT edge_label, vlabel, c1, c2, so / size AS avg_out, si / size AS avg_in,
   CASE WHEN no = size THEN lo ELSE 0 END::DOUBLE AS min_out, CASE WHEN ni = size THEN li ELSE 0 END::DOUBLE AS min_in,
   coalesce(ho, 0)::DOUBLE AS max_out, coalesce(hi, 0)::DOUBLE AS max_in,
@@ -332,7 +335,7 @@ _EDGE_DEG = [
 
 def _stat(kind: str) -> None:
     columns = ["var", "corr"] if kind == "corr" else [kind]
-    picked = ", ".join(f"round({c}_{s}, 6) AS {c}_{s}" for c in columns for s in ("in", "out"))
+    picked = ", ".join(f"round({c}_{s}, 6) + 0.0 AS {c}_{s}" for c in columns for s in ("in", "out"))
 
     @_query(f"stats_edge_deg_{kind}", _sql(f"SELECT edge_label, vlabel, c1, c2, {picked} FROM edge_deg", COMMERCE, _hashed(4), *_EDGE_DEG))
     def stat(spark, sf_dir):
