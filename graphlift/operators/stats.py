@@ -54,13 +54,16 @@ def edge_deg(graph: PropertyGraph, colors: DataFrame, corr: bool = True) -> Data
     flows = view("s", "d", True).unionByName(view("d", "s", False)).withColumn("vlabel", F.explode("vlabels")).drop("vlabels")
     bucket = ["edge_label", "vlabel", "c1", "c2"]
     y = F.col("y").cast("double")
-    per = flows.groupBy(*bucket, "is_out", "id").agg(F.count("*").alias("d"), F.max("x").cast("double").alias("x"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"))
+    ends_of = [F.max("x").cast("double").alias("x"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")] if corr else []
+    per = flows.groupBy(*bucket, "is_out", "id").agg(F.count("*").alias("d"), *ends_of)
     d = F.col("d").cast("double")
     when = lambda out, col: F.when(F.col("is_out") == out, col)
     aggs = []
     for name, out in (("out", True), ("in", False)):
-        for alias, f, col in (("sum", F.sum, F.col("d")), ("sq", F.sum, d * d), ("lo", F.min, F.col("d")), ("hi", F.max, F.col("d")), ("n", F.count, F.col("d")), ("sx", F.sum, d * F.col("x")), ("sxx", F.sum, d * F.col("x") * F.col("x")), ("sy", F.sum, F.col("sy")), ("syy", F.sum, F.col("syy")), ("sxy", F.sum, F.col("x") * F.col("sy"))):
-            aggs.append(f(when(out, col)).alias(f"{alias}_{name}"))
+        sums = [("sum", F.sum, F.col("d")), ("sq", F.sum, d * d), ("lo", F.min, F.col("d")), ("hi", F.max, F.col("d")), ("n", F.count, F.col("d"))]
+        if corr:
+            sums += [("sx", F.sum, d * F.col("x")), ("sxx", F.sum, d * F.col("x") * F.col("x")), ("sy", F.sum, F.col("sy")), ("syy", F.sum, F.col("syy")), ("sxy", F.sum, F.col("x") * F.col("sy"))]
+        aggs += [f(when(out, col)).alias(f"{alias}_{name}") for alias, f, col in sums]
     found = per.groupBy(*bucket).agg(*aggs)
     sizes = color_sizes(colors).select(F.col("color").alias("c1"), "size")
     found = found.join(sizes, "c1")
@@ -68,8 +71,6 @@ def edge_deg(graph: PropertyGraph, colors: DataFrame, corr: bool = True) -> Data
     for name in ("in", "out"):
         c = lambda alias, name=name: F.coalesce(F.col(f"{alias}_{name}"), F.lit(0))
         avg = c("sum") / F.col("size")
-        cov = c("sum") * c("sxy") - c("sx") * c("sy")
-        spread = (c("sum") * c("sxx") - c("sx") * c("sx")) * (c("sum") * c("syy") - c("sy") * c("sy"))
         columns += [
             avg.alias(f"avg_{name}"),
             F.when(F.col(f"n_{name}") == F.col("size"), c("lo")).otherwise(F.lit(0)).cast("double").alias(f"min_{name}"),
@@ -77,6 +78,8 @@ def edge_deg(graph: PropertyGraph, colors: DataFrame, corr: bool = True) -> Data
             F.greatest(F.lit(0.0), c("sq") / F.col("size") - avg * avg).alias(f"var_{name}"),
         ]
         if corr:
+            cov = c("sum") * c("sxy") - c("sx") * c("sy")
+            spread = (c("sum") * c("sxx") - c("sx") * c("sx")) * (c("sum") * c("syy") - c("sy") * c("sy"))
             columns.append(F.when(spread > 0, cov / F.sqrt(spread)).otherwise(F.lit(0.0)).alias(f"corr_{name}"))
     return found.select(*columns)
 
