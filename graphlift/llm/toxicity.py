@@ -157,15 +157,18 @@ class Sparse:
         return [(int(self.labels[i]), int(self.n_sentences[i]), (self.sentence[at[i] : at[i + 1]] - first[i]).tolist(), self.feature[at[i] : at[i + 1]].tolist()) for i in range(n)]
 
     @classmethod
-    def from_rows(cls, rows: list[tuple]) -> Sparse:
-        text_of, sentence, feature, n = [], [], [], 0
-        for i, (_, _, own, words) in enumerate(rows):
-            held = max(own, default=-1) + 1
-            text_of += [i] * held
-            sentence += [n + s for s in own]
-            feature += words
-            n += held
-        return cls(*(np.array(x, np.int64) for x in ([r[0] for r in rows], [r[1] for r in rows], text_of, sentence, feature)))
+    def from_table(cls, table: pa.Table) -> Sparse:
+        """From columns y, n, sentence and feature, as rows() has them."""
+        table = table.combine_chunks()
+        y, n = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "n"))
+        lists = [table.column(c).combine_chunks() for c in ("sentence", "feature")]
+        sizes = pa.compute.list_value_length(lists[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+        own, feature = (x.flatten().to_numpy().astype(np.int64) for x in lists)
+        text = np.repeat(np.arange(len(y)), sizes)
+        # a text's sentences are numbered from 0 without a gap
+        new = np.ones(len(own), bool)
+        new[1:] = (text[1:] != text[:-1]) | (own[1:] != own[:-1])
+        return cls(y, n, text[new], np.cumsum(new) - 1, feature)
 
 
 def descend(data: Sparse, words: np.ndarray, rounds: int = 300, rate: float = 0.2, decay: float = 1e-4) -> Model:
@@ -194,8 +197,9 @@ def descend(data: Sparse, words: np.ndarray, rounds: int = 300, rate: float = 0.
 
 
 #: Words of MIN_DOCS texts or more get a weight if their presence and the label depend on each other by a chi-square of
-#: MIN_CHI2 (20: 8 in a million words by chance); else the many words that occur by chance in a few toxic texts would be learned by heart.
-MIN_DOCS, MIN_CHI2 = 4, 20.0
+#: MIN_CHI2 (20: 8 in a million words by chance) and their texts are labelled 1 MIN_LIFT times as often as all; else the many
+#: words that occur by chance in a few toxic texts would be learned by heart, and common words would be learned for nothing.
+MIN_DOCS, MIN_CHI2, MIN_LIFT = 4, 20.0, 2.0
 
 
 def _chi2(n_word, n_both, n_all, n_one):
@@ -211,11 +215,11 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     last = {(t, int(y)): i for i, (t, y) in enumerate(zip(texts, labels, strict=True))}
     texts, labels = [texts[i] for i in last.values()], labels[list(last.values())]
     words, n_word, n_both = word_counts(texts, labels)
-    keep = (n_word >= MIN_DOCS) & (_chi2(n_word.astype(float), n_both, float(len(texts)), float(labels.sum())) >= MIN_CHI2)
+    keep = (n_word >= MIN_DOCS) & (n_both * len(texts) >= MIN_LIFT * n_word * labels.sum()) & (_chi2(n_word.astype(float), n_both, float(len(texts)), float(labels.sum())) >= MIN_CHI2)
     return descend(Sparse.of(texts, labels, words[keep]), words[keep])
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = 40_000, most_words: int = 50_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = 16_000, most_words: int = 10_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fits on the labelled rows where `train` holds: about sample_docs of them, chosen by a hash of the key (all, where there are fewer).
 
     Words are counted and chosen by Spark (the most_words of the highest chi-square); only those words of the sampled texts
@@ -228,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int =
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("label sample")), F.lit(steps)) < int(steps * min(1.0, sample_docs / max(n, 1)))
     picked = rows.where(draw).join(marks, key)
     # repeated texts count once
-    picked = frames.written(picked.groupBy(F.xxhash64("_text"), "_label").agg(F.first("_text").alias("_text")).select("_text", "_label"))
+    picked = frames.written(picked.groupBy(F.xxhash64("_text"), "_label").agg(F.first("_text").alias("_text")).select("_text", "_label", F.xxhash64("_text").alias("_digest")))
     totals = picked.agg(F.count("*"), F.sum("_label")).first()
     n_all, n_one = totals[0] or 0, totals[1] or 0
     if not 0 < n_one < n_all:
@@ -242,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int =
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n_word), pa.array(n_both)], ["word", "n", "pos"])
 
     counted = frames.map_arrow(picked, count, "word bigint, n bigint, pos bigint").groupBy("word").agg(F.sum("n").cast("double").alias("n"), F.sum("pos").cast("double").alias("pos"))
-    chosen = counted.where(F.col("n") >= MIN_DOCS).withColumn("chi2", _chi2(F.col("n"), F.col("pos"), F.lit(float(n_all)), F.lit(float(n_one)))).where(F.col("chi2") >= MIN_CHI2)
+    chosen = counted.where((F.col("n") >= MIN_DOCS) & (F.col("pos") * n_all >= F.col("n") * (MIN_LIFT * n_one))).withColumn("chi2", _chi2(F.col("n"), F.col("pos"), F.lit(float(n_all)), F.lit(float(n_one)))).where(F.col("chi2") >= MIN_CHI2)
     words = np.sort(np.array([r["word"] for r in chosen.orderBy(F.desc("chi2"), "word").limit(most_words).collect()], np.int64).view(np.uint64))
 
     def reduce(batches):
@@ -250,11 +254,12 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int =
             texts, y = frames.strings(batch.column(0)), batch.column(1).to_numpy()
             for a, b in vector.groups(texts):
                 cols = list(zip(*Sparse.of(texts[a:b], y[a:b], words).rows(), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["y", "n", "sentence", "feature"])
+                kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), batch.column(2).slice(a, b - a)], ["y", "n", "sentence", "feature", "digest"])
 
-    table = frames.map_arrow(picked, reduce, "y int, n bigint, sentence array<bigint>, feature array<bigint>").toArrow()
+    table = frames.map_arrow(picked, reduce, "y int, n int, sentence array<int>, feature array<int>, digest bigint").toArrow()
     # the fit doesn't hang on the order of arrival
-    return descend(Sparse.from_rows(sorted(zip(*(c.to_pylist() for c in table.columns), strict=True))), words)
+    return descend(Sparse.from_table(table.sort_by([("digest", "ascending"), ("y", "ascending")])), words)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, score_name: str = "score", located: bool = True) -> DataFrame:
