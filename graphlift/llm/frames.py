@@ -48,16 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again, so that later jobs neither repeat its work nor need the executors that did it."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
-    """As checkpoint(), but as compressed Parquet that is read column by column."""
+    """Writes df to the shared folder as Parquet and reads it again, so that later jobs neither repeat its work nor need the executors that did it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
