@@ -56,4 +56,5 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_ids(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each document's token ids and of the text decoded from them."""
-    return bpe.encode(docs)
+    # smaller chunks than alone: workers of the stages before hold memory, and a stage may take more disk than the query
+    return bpe.encode(docs, chunk_bytes=6 << 20)
