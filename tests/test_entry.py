@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from graphlift import catalog
+from graphlift import catalog, fixtures
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -36,6 +36,16 @@ def test_queries_agree_with_sql(spark, sf_dir, oracle, name):
         assert found
 
 
+def test_all_groups_of_two_kept_nodes_are_returned(spark, sf_dir):
+    """Orders and suppliers of one nation, by plain dictionaries: no order is left out, whatever its key."""
+    read = lambda name, *cols: [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols).collect()]
+    nation, suppliers = dict(read("customer", "c_custkey", "c_nationkey")), read("supplier", "s_suppkey", "s_nationkey")
+    orders = read("orders", "o_orderkey", "o_custkey")
+    expected = sorted((6 * fixtures.KIND + o, 4 * fixtures.KIND + s, 1) for o, c in orders for s, n in suppliers if nation.get(c) == n)
+    assert max(o for o, _, _ in expected) >= 6_000_000_200
+    assert sorted(map(tuple, catalog.QUERIES["exact_grouped_by_two_whole"](spark, sf_dir).select("q0", "q3", "weight").collect())) == expected
+
+
 def test_entry_has_rows(spark, sf_dir):
     assert entry.entry(spark).count() > 0
 
