@@ -5,7 +5,7 @@ node follows a path: it goes to the bucket of its smallest token under a hash of
 large is split again, on one or two more sampled tokens. Two sets of similarity s share a sampled token
 with probability s, so true pairs mostly stay together and others part. Small buckets are compared by brute
 force on 64-value signatures; runs repeat until a pair at the threshold is missed with a probability
-under 1 - recall. Buckets that stay too large are compared block by block, all blocks with all, so nothing is dropped.
+under 1 - recall, even if all its buckets are split to the deepest level. Buckets that stay too large are compared block by block, all blocks with all, so nothing is dropped.
 
 Pairs so found only have to hold together what belongs together: the connected parts are then verified with
 exact sets, all pairs within a part, which gives exact links and classes. Pairs aren't written
@@ -91,11 +91,6 @@ def runs_for(recall: float, threshold: float, depth: int = 2) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
 
 
-def _coordinate(run: int, level: int, branch: int) -> int:
-    """The hash function of a run's level and branch; runs start from functions of their own."""
-    return (run if level == 0 else (run * 7 + level * 29 + branch * 17 + 11)) % SIGNATURE
-
-
 def _profiles(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """key, node (128-bit name of the set), size, signature for every row."""
     ddl = f"`{key}` {docs.schema[key].dataType.simpleString()}, node binary, size int, signature array<int>"
@@ -114,7 +109,7 @@ def _profiles(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 def _leaves(nodes: DataFrame, runs: int, levels: int, limit: int) -> DataFrame:
     """(path, node): members of the buckets to be compared, two at least in each; large ones that can't be split further come as pairs of blocks."""
-    starts = F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.element_at("signature", _coordinate(r, 0, 0) + 1)).alias("path")) for r in range(runs)])
+    starts = F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.element_at("signature", r % SIGNATURE + 1)).alias("path")) for r in range(runs)])
     rows = nodes.select("node", F.explode(starts).alias("p")).select("node", "p.run", "p.path")
     out = []
     for level in range(levels):
@@ -125,7 +120,8 @@ def _leaves(nodes: DataFrame, runs: int, levels: int, limit: int) -> DataFrame:
         if level == levels - 1 or rows.limit(1).count() == 0:
             break
         signed = rows.join(nodes.select("node", "signature"), "node")
-        value = lambda branch, level=level: F.element_at("signature", F.pmod(F.col("run") * 7 + ((level + 1) * 29 + branch * 17 + 11), F.lit(SIGNATURE)).cast("int") + 1)
+        # a hash function of the path's own: with one for all paths of a level, runs would fail together
+        value = lambda branch: F.element_at("signature", F.pmod(F.xxhash64("path", F.lit("token"), F.lit(branch)), F.lit(SIGNATURE)).cast("int") + 1)
         # one sampled token and, for one path in four, another: 1 / 0.8 of them on the average
         second = F.pmod(F.col("path"), F.lit(4)) == 0
         steps = F.array(F.xxhash64("path", F.lit(0), value(0)), F.when(second, F.xxhash64("path", F.lit(1), value(1))))
@@ -296,7 +292,7 @@ def join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float
     `threshold` or more), n_copies (rows with the same shingles, itself among them), n_shingles."""
     profiles = frames.written(_profiles(docs, key, text, words))
     nodes = frames.written(profiles.where(F.col("size") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("signature").alias("signature"), F.count("*").alias("copies"), F.min(key).alias("least")))
-    leaves = _leaves(nodes, runs_for(recall, threshold), levels, limit)
+    leaves = _leaves(nodes, runs_for(recall, threshold, levels), levels, limit)
     parts = components(_candidates(nodes, leaves, threshold))
     members = frames.written(parts.join(nodes.select("node", "copies"), "node"))
     verified = frames.written(_verify(members, _sets(docs, profiles, members, key, text, words), threshold, block))

@@ -87,6 +87,22 @@ def test_runs_reach_the_recall():
     assert pathjoin.runs_for(0.5, 0.9) == 1
 
 
+def test_pairs_split_four_deep_are_found(spark, monkeypatch):
+    """With limit 1 all buckets are split to the last level; 10 runs miss about 11 of 3,000 pairs there, the target recall 0.3."""
+    used, leaves = [], pathjoin._leaves
+    monkeypatch.setattr(pathjoin, "_leaves", lambda nodes, *args: used.append(args) or leaves(nodes, *args))
+    assert pathjoin.join(spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string")).count() == 1
+    runs, levels, _ = used[0]
+    rng = np.random.default_rng(3)
+    a, other = rng.integers(-(2**31), 2**31, (2, 3000, pathjoin.SIGNATURE))
+    b = np.where(rng.random(a.shape) < 0.8, a, other)
+    nodes = [(f"{i} {side}".encode(), rows[i].tolist()) for side, rows in (("a", a), ("b", b)) for i in range(len(a))]
+    found = leaves(spark.createDataFrame(nodes, "node binary, signature array<int>").cache(), runs, levels, 1)
+    number = F.split(F.col("node").cast("string"), " ")[0]
+    together = found.groupBy("path", number.alias("pair")).agg(F.countDistinct("node").alias("n")).where("n = 2").select("pair").distinct().count()
+    assert len(a) - together <= 2
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**64, 2000, dtype=np.uint64))
