@@ -9,7 +9,7 @@ place that changed, and its spans are found by probing each turn of the whole ou
 
 For long conversations all prefixes would cost the square of the turns. From `window` turns on, prefixes
 begin anew with the first turn and the last one as context; the spans so found must add up to the one
-rendering of the whole conversation, letter by letter, else all prefixes are rendered.
+rendering of the whole conversation, letter by letter, else all prefixes are rendered. Longer prefixes aren't rendered if they do, so rewrites between them aren't counted.
 
 A null text or role counts as empty. Equal turn numbers are ordered by role and text. Rows without conversation
 id form one conversation. Other columns are ignored. No rows give no rows.
