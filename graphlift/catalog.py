@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures
 from .model import Pattern
-from .operators import coloring, cycles, estimate, exact, metrics, sampling, stats, summary, update
+from .operators import partition, cycles, estimate, exact, metrics, sampling, stats, summary, update
 from .operators.store import new_path, stored
 from .plans.order import pattern_width
 from .streaming.update import SummaryStream
@@ -79,8 +79,8 @@ deg AS (SELECT ids.id, coalesce(o.n, 0)::BIGINT AS d_out, coalesce(i.n, 0)::BIGI
 
 
 def _hashed(k: int) -> str:
-    """colors(id, color) of the hash method with k colors."""
-    return f"colors AS (SELECT id, ((((id % 1000003) * 48271 + 12345) % 2147483647) % {k} + 1)::INT AS color FROM ids)"
+    """cells(id, cell) of the hash method with k cells."""
+    return f"cells AS (SELECT id, ((((id % 1000003) * 48271 + 12345) % 2147483647) % {k} + 1)::INT AS cell FROM ids)"
 
 
 def _sql(body: str, graph: str = COMMERCE, *more: str) -> str:
@@ -195,99 +195,99 @@ def exact_sampled(spark, sf_dir):
     return sampling.sampled_count(fixtures.graph(spark, sf_dir), _EXACT["exact_path3_backward"][0], 2000, seed=1)
 
 
-# --- colorings ---------------------------------------------------------------------------------
+# --- partitions ---------------------------------------------------------------------------------
 
 
 def _degree_rounds(rounds: int, start: str, end: str) -> list[str]:
-    """Rounds of the degree method over `start`(id, color), giving `end`(id, color)."""
-    out = [f"{end}_0 AS (SELECT s.id, s.color, deg.deg FROM {start} s JOIN deg USING (id))"]
+    """Rounds of the degree method over `start`(id, cell), giving `end`(id, cell)."""
+    out = [f"{end}_0 AS (SELECT s.id, s.cell, deg.deg FROM {start} s JOIN deg USING (id))"]
     for r in range(rounds):
-        out.append(f"{end}_p{r} AS (SELECT color, n, s FROM (SELECT color, count(*) AS n, sum(deg) AS s, sum(deg * deg) AS q FROM {end}_{r} GROUP BY color) t WHERE n * q - s * s > 0 ORDER BY (n * q - s * s)::DOUBLE / n DESC, color LIMIT 1)")
-        out.append(f"{end}_{r + 1} AS (SELECT c.id, CASE WHEN c.color = k.color AND c.deg * k.n <= k.s THEN (SELECT max(color) + 1 FROM {end}_{r}) ELSE c.color END::INT AS color, c.deg FROM {end}_{r} c LEFT JOIN {end}_p{r} k ON true)")
-    return [*out, f"{end} AS (SELECT id, color FROM {end}_{rounds})"]
+        out.append(f"{end}_p{r} AS (SELECT cell, n, s FROM (SELECT cell, count(*) AS n, sum(deg) AS s, sum(deg * deg) AS q FROM {end}_{r} GROUP BY cell) t WHERE n * q - s * s > 0 ORDER BY (n * q - s * s)::DOUBLE / n DESC, cell LIMIT 1)")
+        out.append(f"{end}_{r + 1} AS (SELECT c.id, CASE WHEN c.cell = k.cell AND c.deg * k.n <= k.s THEN (SELECT max(cell) + 1 FROM {end}_{r}) ELSE c.cell END::INT AS cell, c.deg FROM {end}_{r} c LEFT JOIN {end}_p{r} k ON true)")
+    return [*out, f"{end} AS (SELECT id, cell FROM {end}_{rounds})"]
 
 
 def _label_rounds(rounds: int, start: str, end: str) -> list[str]:
     """Rounds of the label method."""
-    out = [f"{end}_0 AS (SELECT id, color FROM {start})"]
+    out = [f"{end}_0 AS (SELECT id, cell FROM {start})"]
     for r in range(rounds):
         now = f"{end}_{r}"
-        out.append(f"{end}_p{r} AS (SELECT l.color, l.label FROM (SELECT c.color, v.label, count(*) AS k FROM {now} c JOIN v USING (id) GROUP BY 1, 2) l JOIN (SELECT color, count(*) AS n FROM {now} GROUP BY 1) n USING (color) WHERE least(k, n - k) > 0 ORDER BY least(k, n - k) DESC, color, label LIMIT 1)")
-        out.append(f"{end}_{r + 1} AS (SELECT c.id, CASE WHEN k.label IS NOT NULL AND h.id IS NOT NULL THEN (SELECT max(color) + 1 FROM {now}) ELSE c.color END::INT AS color FROM {now} c LEFT JOIN {end}_p{r} k ON c.color = k.color LEFT JOIN v h ON h.id = c.id AND h.label = k.label)")
-    return [*out, f"{end} AS (SELECT id, color FROM {end}_{rounds})"]
+        out.append(f"{end}_p{r} AS (SELECT l.cell, l.label FROM (SELECT c.cell, v.label, count(*) AS k FROM {now} c JOIN v USING (id) GROUP BY 1, 2) l JOIN (SELECT cell, count(*) AS n FROM {now} GROUP BY 1) n USING (cell) WHERE least(k, n - k) > 0 ORDER BY least(k, n - k) DESC, cell, label LIMIT 1)")
+        out.append(f"{end}_{r + 1} AS (SELECT c.id, CASE WHEN k.label IS NOT NULL AND h.id IS NOT NULL THEN (SELECT max(cell) + 1 FROM {now}) ELSE c.cell END::INT AS cell FROM {now} c LEFT JOIN {end}_p{r} k ON c.cell = k.cell LEFT JOIN v h ON h.id = c.id AND h.label = k.label)")
+    return [*out, f"{end} AS (SELECT id, cell FROM {end}_{rounds})"]
 
 
 _NEIGHBOUR_LABELS = "nl AS (SELECT t.id, v.label, count(*) AS cnt FROM (SELECT src AS id, dst AS other FROM p UNION SELECT dst, src FROM p) t JOIN v ON v.id = t.other GROUP BY 1, 2)"
 
 
 def _neighbour_rounds(rounds: int, start: str, end: str) -> list[str]:
-    out = [f"{end}_0 AS (SELECT id, color FROM {start})"]
+    out = [f"{end}_0 AS (SELECT id, cell FROM {start})"]
     for r in range(rounds):
         now = f"{end}_{r}"
-        out.append(f"{end}_p{r} AS (SELECT color, label, n, s FROM (SELECT c.color, nl.label, sum(cnt) AS s, sum(cnt * cnt) AS q FROM {now} c JOIN nl USING (id) GROUP BY 1, 2) t JOIN (SELECT color, count(*) AS n FROM {now} GROUP BY 1) n USING (color) WHERE n * q - s * s > 0 ORDER BY (n * q - s * s)::DOUBLE / n DESC, color, label LIMIT 1)")
-        out.append(f"{end}_{r + 1} AS (SELECT c.id, CASE WHEN c.color = k.color AND coalesce(x.cnt, 0) * k.n <= k.s THEN (SELECT max(color) + 1 FROM {now}) ELSE c.color END::INT AS color FROM {now} c LEFT JOIN {end}_p{r} k ON true LEFT JOIN nl x ON x.id = c.id AND x.label = k.label)")
-    return [*out, f"{end} AS (SELECT id, color FROM {end}_{rounds})"]
+        out.append(f"{end}_p{r} AS (SELECT cell, label, n, s FROM (SELECT c.cell, nl.label, sum(cnt) AS s, sum(cnt * cnt) AS q FROM {now} c JOIN nl USING (id) GROUP BY 1, 2) t JOIN (SELECT cell, count(*) AS n FROM {now} GROUP BY 1) n USING (cell) WHERE n * q - s * s > 0 ORDER BY (n * q - s * s)::DOUBLE / n DESC, cell, label LIMIT 1)")
+        out.append(f"{end}_{r + 1} AS (SELECT c.id, CASE WHEN c.cell = k.cell AND coalesce(x.cnt, 0) * k.n <= k.s THEN (SELECT max(cell) + 1 FROM {now}) ELSE c.cell END::INT AS cell FROM {now} c LEFT JOIN {end}_p{r} k ON true LEFT JOIN nl x ON x.id = c.id AND x.label = k.label)")
+    return [*out, f"{end} AS (SELECT id, cell FROM {end}_{rounds})"]
 
 
-_ONE = "one AS (SELECT id, 1 AS color FROM ids)"
-_COLORS = "SELECT id, color FROM colors"
+_ONE = "one AS (SELECT id, 1 AS cell FROM ids)"
+_CELLS = "SELECT id, cell FROM cells"
 
 
-def _coloring(stages: list[tuple[str, int]]) -> Query:
-    return lambda spark, sf_dir: coloring.color_graph(fixtures.graph(spark, sf_dir), stages)
+def _partition(stages: list[tuple[str, int]]) -> Query:
+    return lambda spark, sf_dir: partition.cell_graph(fixtures.graph(spark, sf_dir), stages)
 
 
-_query("color_hash", _sql(_COLORS, COMMERCE, _hashed(8)))(_coloring([("hash", 8)]))
-_query("color_degree", _sql(_COLORS, COMMERCE, _ONE, *_degree_rounds(5, "one", "colors")))(_coloring([("degree", 6)]))
-_query("color_node_labels", _sql(_COLORS, COMMERCE, _ONE, *_label_rounds(5, "one", "colors")))(_coloring([("node_labels", 6)]))
-_query("color_neighbor_labels", _sql(_COLORS, COMMERCE, _NEIGHBOUR_LABELS, _ONE, *_neighbour_rounds(3, "one", "colors")))(_coloring([("neighbour_labels", 4)]))
-_query("color_mix", _sql(_COLORS, COMMERCE, _ONE, *_degree_rounds(2, "one", "stage1"), *_label_rounds(3, "stage1", "colors")))(_coloring([("degree", 3), ("node_labels", 3)]))
-_query("color_quasi_stable")(_coloring([("quasi_stable", 16)]))
+_query("cell_hash", _sql(_CELLS, COMMERCE, _hashed(8)))(_partition([("hash", 8)]))
+_query("cell_degree", _sql(_CELLS, COMMERCE, _ONE, *_degree_rounds(5, "one", "cells")))(_partition([("degree", 6)]))
+_query("cell_node_labels", _sql(_CELLS, COMMERCE, _ONE, *_label_rounds(5, "one", "cells")))(_partition([("node_labels", 6)]))
+_query("cell_neighbor_labels", _sql(_CELLS, COMMERCE, _NEIGHBOUR_LABELS, _ONE, *_neighbour_rounds(3, "one", "cells")))(_partition([("neighbour_labels", 4)]))
+_query("cell_mix", _sql(_CELLS, COMMERCE, _ONE, *_degree_rounds(2, "one", "stage1"), *_label_rounds(3, "stage1", "cells")))(_partition([("degree", 3), ("node_labels", 3)]))
+_query("cell_quasi_stable")(_partition([("quasi_stable", 16)]))
 
 _FIRST_LABEL = "fl AS (SELECT id, min(label)::INT AS label FROM v GROUP BY id)"
 
 
 def _ranked(key: str) -> str:
-    return f"""SELECT fl.id, ((r.rn - 1) // r.size + 1)::INT AS color FROM fl JOIN (
+    return f"""SELECT fl.id, ((r.rn - 1) // r.size + 1)::INT AS cell FROM fl JOIN (
       SELECT label, row_number() OVER (ORDER BY k NULLS LAST, label) AS rn, greatest(1, ceil(count(*) OVER () / 4.0))::BIGINT AS size
       FROM (SELECT fl.label, {key} AS k FROM fl JOIN deg USING (id) GROUP BY 1) t) r USING (label)"""
 
 
-_query("color_simple_label", _sql(_ranked("0"), COMMERCE, _FIRST_LABEL))(lambda spark, sf_dir: coloring.by_first_label(fixtures.graph(spark, sf_dir), 4))
-_query("color_label_degree", _sql(_ranked("avg(deg)"), COMMERCE, _FIRST_LABEL))(lambda spark, sf_dir: coloring.by_label_degree(fixtures.graph(spark, sf_dir), 4))
-_query("color_label_ratio", _sql(_ranked("CASE WHEN sum(d_out) > 0 THEN sum(d_in)::DOUBLE / sum(d_out) END"), COMMERCE, _FIRST_LABEL))(lambda spark, sf_dir: coloring.by_label_ratio(fixtures.graph(spark, sf_dir), 4))
-_query("color_ratio", _sql("SELECT id, ceil(sum(1) OVER (ORDER BY CASE WHEN d_out > 0 THEN d_in::DOUBLE / d_out ELSE 'inf'::DOUBLE END RANGE UNBOUNDED PRECEDING)::DOUBLE / ceil((SELECT count(*) FROM ids) / 5.0))::INT AS color FROM deg", COMMERCE))(lambda spark, sf_dir: coloring.by_ratio(fixtures.graph(spark, sf_dir), 5))
+_query("cell_simple_label", _sql(_ranked("0"), COMMERCE, _FIRST_LABEL))(lambda spark, sf_dir: partition.by_first_label(fixtures.graph(spark, sf_dir), 4))
+_query("cell_label_degree", _sql(_ranked("avg(deg)"), COMMERCE, _FIRST_LABEL))(lambda spark, sf_dir: partition.by_label_degree(fixtures.graph(spark, sf_dir), 4))
+_query("cell_label_ratio", _sql(_ranked("CASE WHEN sum(d_out) > 0 THEN sum(d_in)::DOUBLE / sum(d_out) END"), COMMERCE, _FIRST_LABEL))(lambda spark, sf_dir: partition.by_label_ratio(fixtures.graph(spark, sf_dir), 4))
+_query("cell_ratio", _sql("SELECT id, ceil(sum(1) OVER (ORDER BY CASE WHEN d_out > 0 THEN d_in::DOUBLE / d_out ELSE 'inf'::DOUBLE END RANGE UNBOUNDED PRECEDING)::DOUBLE / ceil((SELECT count(*) FROM ids) / 5.0))::INT AS cell FROM deg", COMMERCE))(lambda spark, sf_dir: partition.by_ratio(fixtures.graph(spark, sf_dir), 5))
 _query(
-    "color_hub",
+    "cell_hub",
     _sql(
-        "SELECT ids.id, coalesce(min(h.r), 6)::INT AS color FROM ids LEFT JOIN near ON near.id = ids.id LEFT JOIN hubs h ON h.id = near.other GROUP BY 1",
+        "SELECT ids.id, coalesce(min(h.r), 6)::INT AS cell FROM ids LEFT JOIN near ON near.id = ids.id LEFT JOIN hubs h ON h.id = near.other GROUP BY 1",
         COMMERCE,
         "hubs AS (SELECT id, row_number() OVER (ORDER BY deg DESC, id) AS r FROM deg ORDER BY deg DESC, id LIMIT 5)",
         "near AS (SELECT src AS id, dst AS other FROM p UNION SELECT dst, src FROM p UNION SELECT id, id FROM ids)",
     ),
-)(lambda spark, sf_dir: coloring.by_hubs(fixtures.graph(spark, sf_dir), 6))
+)(lambda spark, sf_dir: partition.by_hubs(fixtures.graph(spark, sf_dir), 6))
 
 
 def _recursive_rounds(depth: int) -> list[str]:
-    out = ["colors_0 AS (SELECT id, 1 AS color FROM ids)"]
+    out = ["cells_0 AS (SELECT id, 1 AS cell FROM ids)"]
     for r in range(depth):
-        now = f"colors_{r}"
-        out.append(f"""split_{r} AS (SELECT color, label, (SELECT max(color) FROM {now}) + row_number() OVER (ORDER BY color) AS fresh FROM (
-          SELECT l.color, l.label, row_number() OVER (PARTITION BY l.color ORDER BY least(k, n - k) DESC, label) AS rn, least(k, n - k) AS side
-          FROM (SELECT c.color, v.label, count(*) AS k FROM {now} c JOIN v USING (id) GROUP BY 1, 2) l JOIN (SELECT color, count(*) AS n FROM {now} GROUP BY 1) n USING (color)) t WHERE rn = 1 AND side > 0)""")
-        out.append(f"colors_{r + 1} AS (SELECT c.id, CASE WHEN h.id IS NOT NULL THEN k.fresh ELSE c.color END::INT AS color FROM {now} c LEFT JOIN split_{r} k ON c.color = k.color LEFT JOIN v h ON h.id = c.id AND h.label = k.label)")
-    return [*out, f"colors AS (SELECT id, color FROM colors_{depth})"]
+        now = f"cells_{r}"
+        out.append(f"""split_{r} AS (SELECT cell, label, (SELECT max(cell) FROM {now}) + row_number() OVER (ORDER BY cell) AS fresh FROM (
+          SELECT l.cell, l.label, row_number() OVER (PARTITION BY l.cell ORDER BY least(k, n - k) DESC, label) AS rn, least(k, n - k) AS side
+          FROM (SELECT c.cell, v.label, count(*) AS k FROM {now} c JOIN v USING (id) GROUP BY 1, 2) l JOIN (SELECT cell, count(*) AS n FROM {now} GROUP BY 1) n USING (cell)) t WHERE rn = 1 AND side > 0)""")
+        out.append(f"cells_{r + 1} AS (SELECT c.id, CASE WHEN h.id IS NOT NULL THEN k.fresh ELSE c.cell END::INT AS cell FROM {now} c LEFT JOIN split_{r} k ON c.cell = k.cell LEFT JOIN v h ON h.id = c.id AND h.label = k.label)")
+    return [*out, f"cells AS (SELECT id, cell FROM cells_{depth})"]
 
 
-_query("color_recursive_label", _sql(_COLORS, COMMERCE, *_recursive_rounds(3)))(lambda spark, sf_dir: coloring.recursive_labels(g := fixtures.graph(spark, sf_dir), coloring.one_color(g), 3))
+_query("cell_recursive_label", _sql(_CELLS, COMMERCE, *_recursive_rounds(3)))(lambda spark, sf_dir: partition.recursive_labels(g := fixtures.graph(spark, sf_dir), partition.one_cell(g), 3))
 
 
 # --- statistics --------------------------------------------------------------------------------
 
 
-def _colored(spark, sf_dir, k: int = 8, name: str = "commerce"):
+def _celled(spark, sf_dir, k: int = 8, name: str = "commerce"):
     g = fixtures.graph(spark, sf_dir, name)
-    return g, coloring.by_hash(g, coloring.one_color(g), k)
+    return g, partition.by_hash(g, partition.one_cell(g), k)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -295,14 +295,14 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-@_query("stats_color_size", _sql("SELECT color, count(*)::BIGINT AS size FROM colors GROUP BY 1", COMMERCE, _hashed(8)))
-def stats_color_size(spark, sf_dir):
-    return stats.color_sizes(_colored(spark, sf_dir)[1])
+@_query("stats_cell_size", _sql("SELECT cell, count(*)::BIGINT AS size FROM cells GROUP BY 1", COMMERCE, _hashed(8)))
+def stats_cell_size(spark, sf_dir):
+    return stats.cell_sizes(_celled(spark, sf_dir)[1])
 
 
-@_query("stats_color_card", _sql("SELECT color, label, count(*)::BIGINT AS cnt FROM vw JOIN colors USING (id) GROUP BY 1, 2", COMMERCE, _hashed(8)))
-def stats_color_card(spark, sf_dir):
-    return stats.color_card(*_colored(spark, sf_dir))
+@_query("stats_cell_card", _sql("SELECT cell, label, count(*)::BIGINT AS cnt FROM vw JOIN cells USING (id) GROUP BY 1, 2", COMMERCE, _hashed(8)))
+def stats_cell_card(spark, sf_dir):
+    return stats.cell_card(*_celled(spark, sf_dir))
 
 
 @_query("stats_neighbour_labels", _sql("SELECT id, label::INT AS label, cnt::BIGINT AS cnt FROM nl", COMMERCE, _NEIGHBOUR_LABELS))
@@ -313,13 +313,13 @@ def stats_neighbour_labels(spark, sf_dir):
 #: edge_deg in SQL: flows of both directions, degrees by vertex, then by bucket.
 _EDGE_DEG = [
     """flows AS (
-  SELECT ew.label AS edge_label, vw.label AS vlabel, a.color AS c1, b.color AS c2, ew.src AS id, dx.deg::DOUBLE AS x, dy.deg::DOUBLE AS y, true AS is_out
-  FROM ew JOIN vw ON vw.id = ew.dst JOIN colors a ON a.id = ew.src JOIN colors b ON b.id = ew.dst JOIN deg dx ON dx.id = ew.src JOIN deg dy ON dy.id = ew.dst
+  SELECT ew.label AS edge_label, vw.label AS vlabel, a.cell AS c1, b.cell AS c2, ew.src AS id, dx.deg::DOUBLE AS x, dy.deg::DOUBLE AS y, true AS is_out
+  FROM ew JOIN vw ON vw.id = ew.dst JOIN cells a ON a.id = ew.src JOIN cells b ON b.id = ew.dst JOIN deg dx ON dx.id = ew.src JOIN deg dy ON dy.id = ew.dst
   UNION ALL
-  SELECT ew.label, vw.label, b.color, a.color, ew.dst, dy.deg, dx.deg, false
-  FROM ew JOIN vw ON vw.id = ew.src JOIN colors a ON a.id = ew.src JOIN colors b ON b.id = ew.dst JOIN deg dx ON dx.id = ew.src JOIN deg dy ON dy.id = ew.dst)""",
+  SELECT ew.label, vw.label, b.cell, a.cell, ew.dst, dy.deg, dx.deg, false
+  FROM ew JOIN vw ON vw.id = ew.src JOIN cells a ON a.id = ew.src JOIN cells b ON b.id = ew.dst JOIN deg dx ON dx.id = ew.src JOIN deg dy ON dy.id = ew.dst)""",
     "per AS (SELECT edge_label, vlabel, c1, c2, is_out, id, count(*) AS d, max(x) AS x, sum(y) AS sy, sum(y * y) AS syy FROM flows GROUP BY ALL)",
-    "sizes AS (SELECT color AS c1, count(*) AS size FROM colors GROUP BY 1)",
+    "sizes AS (SELECT cell AS c1, count(*) AS size FROM cells GROUP BY 1)",
     """ed AS (SELECT edge_label, vlabel, c1, c2, size,
   coalesce(sum(d) FILTER (WHERE is_out), 0)::DOUBLE AS so, coalesce(sum(d) FILTER (WHERE NOT is_out), 0)::DOUBLE AS si,
   coalesce(sum(d * d) FILTER (WHERE is_out), 0)::DOUBLE AS qo, coalesce(sum(d * d) FILTER (WHERE NOT is_out), 0)::DOUBLE AS qi,
@@ -335,7 +335,7 @@ _EDGE_DEG = [
   greatest(0, qo / size - (so / size) * (so / size)) AS var_out, greatest(0, qi / size - (si / size) * (si / size)) AS var_in,
   CASE WHEN ro IS NULL OR isnan(ro) THEN 0 ELSE ro END AS corr_out, CASE WHEN ri IS NULL OR isnan(ri) THEN 0 ELSE ri END AS corr_in
   FROM ed JOIN cor USING (edge_label, vlabel, c1, c2))""",
-    "card AS (SELECT color, label, count(*) AS cnt FROM vw JOIN colors USING (id) GROUP BY 1, 2)",
+    "card AS (SELECT cell, label, count(*) AS cnt FROM vw JOIN cells USING (id) GROUP BY 1, 2)",
 ]
 
 
@@ -345,8 +345,8 @@ def _stat(kind: str) -> None:
 
     @_query(f"stats_edge_deg_{kind}", _sql(f"SELECT edge_label, vlabel, c1, c2, {picked} FROM edge_deg", COMMERCE, _hashed(4), *_EDGE_DEG))
     def stat(spark, sf_dir):
-        g, colors = _colored(spark, sf_dir, 4)
-        return _rounded(stats.edge_deg(g, colors, kind == "corr").select("edge_label", "vlabel", "c1", "c2", *[f"{c}_{s}" for c in columns for s in ("in", "out")]))
+        g, cells = _celled(spark, sf_dir, 4)
+        return _rounded(stats.edge_deg(g, cells, kind == "corr").select("edge_label", "vlabel", "c1", "c2", *[f"{c}_{s}" for c in columns for s in ("in", "out")]))
 
 
 for _kind in ("avg", "min", "max", "corr"):
@@ -358,8 +358,8 @@ _WALKS = [
     "b AS (SELECT src AS n1, dst AS n2, 'F' AS s FROM p UNION ALL SELECT dst, src, 'B' FROM p)",
     """w AS (SELECT n1, n2, s AS path, 1::BIGINT AS w FROM b WHERE s = 'B'
   UNION ALL SELECT x.n1, y.n2, x.s || y.s, count(*) FROM b x JOIN b y ON x.n2 = y.n1 GROUP BY 1, 2, 3)""",
-    """cyc AS (SELECT w.path, a.color AS c1, z.color AS c2, sum(w.w)::DOUBLE AS total, coalesce(sum(w.w) FILTER (WHERE p.src IS NOT NULL), 0)::DOUBLE AS closed
-  FROM w JOIN colors a ON a.id = w.n1 JOIN colors z ON z.id = w.n2 LEFT JOIN p ON p.src = w.n1 AND p.dst = w.n2 GROUP BY 1, 2, 3)""",
+    """cyc AS (SELECT w.path, a.cell AS c1, z.cell AS c2, sum(w.w)::DOUBLE AS total, coalesce(sum(w.w) FILTER (WHERE p.src IS NOT NULL), 0)::DOUBLE AS closed
+  FROM w JOIN cells a ON a.id = w.n1 JOIN cells z ON z.id = w.n2 LEFT JOIN p ON p.src = w.n1 AND p.dst = w.n2 GROUP BY 1, 2, 3)""",
     """cycle_prob AS (SELECT path, c1, c2, closed / total AS prob FROM cyc WHERE total >= 25
   UNION ALL SELECT path, -1, -1, sum(closed) / sum(total) FROM cyc GROUP BY path HAVING sum(total) >= 25)""",
     "cycle_len_prob AS (SELECT length(path)::INT AS len, sum(closed) / sum(total) AS prob FROM cyc GROUP BY 1)",
@@ -370,8 +370,8 @@ def _cycle_query(where: str) -> tuple[str, Query]:
     sql = _sql(f"SELECT path, c1, c2, round(prob, 6) AS prob FROM cycle_prob WHERE {where}", ACTIVITY, _hashed(4), *_WALKS)
 
     def query(spark, sf_dir):
-        g, colors = _colored(spark, sf_dir, 4, "activity")
-        return _rounded(cycles.cycle_probabilities(g, colors, 3)[0].where(where))
+        g, cells = _celled(spark, sf_dir, 4, "activity")
+        return _rounded(cycles.cycle_probabilities(g, cells, 3)[0].where(where))
 
     return sql, query
 
@@ -383,17 +383,17 @@ for _name, _where in (("cycle_stats_len1", "length(path) = 1 AND c1 > 0"), ("cyc
 
 @_query("cycle_stats_len_prob", _sql("SELECT len, round(prob, 6) AS prob FROM cycle_len_prob", ACTIVITY, _hashed(4), *_WALKS))
 def cycle_stats_len(spark, sf_dir):
-    g, colors = _colored(spark, sf_dir, 4, "activity")
-    return _rounded(cycles.cycle_probabilities(g, colors, 3)[1])
+    g, cells = _celled(spark, sf_dir, 4, "activity")
+    return _rounded(cycles.cycle_probabilities(g, cells, 3)[1])
 
 
 # --- estimates ---------------------------------------------------------------------------------
 
-_summaries: dict[tuple, summary.ColorSummary] = {}
+_summaries: dict[tuple, summary.CellSummary] = {}
 
 
-def _summary(spark, sf_dir, name: str, k: int = 4, max_cycle: int = 3, graph=None) -> summary.ColorSummary:
-    """The hash-colored summary of a fixture; made once in a session."""
+def _summary(spark, sf_dir, name: str, k: int = 4, max_cycle: int = 3, graph=None) -> summary.CellSummary:
+    """The hash-celled summary of a fixture; made once in a session."""
     key = (spark.sparkContext.applicationId, sf_dir, name, k, max_cycle)
     if key not in _summaries:
         g = graph or fixtures.graph(spark, sf_dir, name)
@@ -403,7 +403,7 @@ def _summary(spark, sf_dir, name: str, k: int = 4, max_cycle: int = 3, graph=Non
 
 #: order -20-> part <-20- order, from labelled orders.
 _PATH = Pattern.of(3, [(0, 1, 20), (2, 1, 20)], {0: 301, 1: 5, 2: 6})
-_PATH_FROM = """FROM card s JOIN edge_deg a ON a.c1 = s.color AND a.edge_label = 20 AND a.vlabel = 5 JOIN edge_deg b ON b.c1 = a.c2 AND b.edge_label = 20 AND b.vlabel = 6 WHERE s.label = 301"""
+_PATH_FROM = """FROM card s JOIN edge_deg a ON a.c1 = s.cell AND a.edge_label = 20 AND a.vlabel = 5 JOIN edge_deg b ON b.c1 = a.c2 AND b.edge_label = 20 AND b.vlabel = 6 WHERE s.label = 301"""
 
 
 def _estimate_query(name: str, pattern: Pattern, graph: str, sql: str, kind: str = "avg", **options) -> None:
@@ -427,7 +427,7 @@ def _log(value: str) -> str:
 for _kind in ("avg", "min", "max"):
     _estimate_query(f"estimate_{_kind}_path", _PATH, "commerce", _sql(f"SELECT {_log(f'coalesce(sum(s.cnt * a.{_kind}_out * b.{_kind}_in), 0)')} {_PATH_FROM}", COMMERCE, _hashed(4), *_EDGE_DEG), _kind)
 
-_CORR1 = "s1 AS (SELECT a.c2 AS c, sum(s.cnt * a.avg_out) AS w, sum(greatest(0, s.cnt * s.cnt * (a.var_out + a.avg_out * a.avg_out) - (s.cnt * a.avg_out) * (s.cnt * a.avg_out))) AS v FROM card s JOIN edge_deg a ON a.c1 = s.color AND a.edge_label = 20 AND a.vlabel = 5 WHERE s.label = 301 AND a.avg_out > 0 GROUP BY 1)"
+_CORR1 = "s1 AS (SELECT a.c2 AS c, sum(s.cnt * a.avg_out) AS w, sum(greatest(0, s.cnt * s.cnt * (a.var_out + a.avg_out * a.avg_out) - (s.cnt * a.avg_out) * (s.cnt * a.avg_out))) AS v FROM card s JOIN edge_deg a ON a.c1 = s.cell AND a.edge_label = 20 AND a.vlabel = 5 WHERE s.label = 301 AND a.avg_out > 0 GROUP BY 1)"
 _estimate_query("estimate_corr_path", _PATH, "commerce", _sql(f"SELECT {_log('coalesce(sum(s1.w * b.avg_in + sqrt(s1.v) * sqrt(b.var_in) * b.corr_in), 0)')} FROM s1 JOIN edge_deg b ON b.c1 = s1.c AND b.edge_label = 20 AND b.vlabel = 6 WHERE b.avg_in > 0", COMMERCE, _hashed(4), *_EDGE_DEG, _CORR1), "corr")
 
 _ID_PATH = Pattern.of(2, [(0, 1, 10)], {0: 6, 1: 3}, {1: [3_000_000_005, 3_000_000_006]})
@@ -435,14 +435,14 @@ _estimate_query(
     "estimate_avg_id",
     _ID_PATH,
     "commerce",
-    _sql(f"SELECT {_log('coalesce(sum(s.cnt * a.avg_out * least(1, f.found::DOUBLE / t.cnt)), 0)')} FROM card s JOIN edge_deg a ON a.c1 = s.color AND a.edge_label = 10 AND a.vlabel = 3 JOIN card t ON t.color = a.c2 AND t.label = 3 JOIN (SELECT color, count(*) AS found FROM colors WHERE id IN (3000000005, 3000000006) GROUP BY 1) f ON f.color = a.c2 WHERE s.label = 6", COMMERCE, _hashed(4), *_EDGE_DEG),
+    _sql(f"SELECT {_log('coalesce(sum(s.cnt * a.avg_out * least(1, f.found::DOUBLE / t.cnt)), 0)')} FROM card s JOIN edge_deg a ON a.c1 = s.cell AND a.edge_label = 10 AND a.vlabel = 3 JOIN card t ON t.cell = a.c2 AND t.label = 3 JOIN (SELECT cell, count(*) AS found FROM cells WHERE id IN (3000000005, 3000000006) GROUP BY 1) f ON f.cell = a.c2 WHERE s.label = 6", COMMERCE, _hashed(4), *_EDGE_DEG),
 )
 
 #: 0 -> 1 -> 2 -> 0: vertex 2 is bound from 0 against its edge; 1 -> 2 closes.
 _TRIANGLE = Pattern.of(3, [(0, 1, 50), (1, 2, 50), (2, 0, 50)], {0: 7, 1: 7, 2: 7})
-_TRIANGLE_FROM = """FROM card s JOIN edge_deg a ON a.c1 = s.color AND a.edge_label = 50 AND a.vlabel = 7 JOIN edge_deg b ON b.c1 = s.color AND b.edge_label = 50 AND b.vlabel = 7
+_TRIANGLE_FROM = """FROM card s JOIN edge_deg a ON a.c1 = s.cell AND a.edge_label = 50 AND a.vlabel = 7 JOIN edge_deg b ON b.c1 = s.cell AND b.edge_label = 50 AND b.vlabel = 7
   JOIN edge_deg k ON k.c1 = a.c2 AND k.c2 = b.c2 AND k.edge_label = 50 AND k.vlabel = 7"""
-_estimate_query("estimate_avg_triangle_indep", _TRIANGLE, "activity", _sql(f"SELECT {_log('coalesce(sum(s.cnt * a.avg_out * b.avg_in * least(1, k.avg_out / t.cnt)), 0)')} {_TRIANGLE_FROM} JOIN card t ON t.color = b.c2 AND t.label = 7 WHERE s.label = 7", ACTIVITY, _hashed(4), *_EDGE_DEG), stored_cycles=False)
+_estimate_query("estimate_avg_triangle_indep", _TRIANGLE, "activity", _sql(f"SELECT {_log('coalesce(sum(s.cnt * a.avg_out * b.avg_in * least(1, k.avg_out / t.cnt)), 0)')} {_TRIANGLE_FROM} JOIN card t ON t.cell = b.c2 AND t.label = 7 WHERE s.label = 7", ACTIVITY, _hashed(4), *_EDGE_DEG), stored_cycles=False)
 _STORED = _sql(
     f"SELECT {_log('coalesce(sum(s.cnt * a.avg_out * b.avg_in * coalesce(q.prob, (SELECT max(prob) FROM cycle_prob WHERE path = $$BB$$ AND c1 = -1), (SELECT max(prob) FROM cycle_len_prob WHERE len = 2))), 0)')} {_TRIANGLE_FROM} LEFT JOIN cycle_prob q ON q.path = 'BB' AND q.c1 = a.c2 AND q.c2 = b.c2 WHERE s.label = 7",
     ACTIVITY, _hashed(4), *_EDGE_DEG, *_WALKS,
@@ -478,27 +478,27 @@ def _new_edges(spark, sf_dir) -> DataFrame:
 
 
 _TWO_STEPS = "nw AS (SELECT DISTINCT a.src, b.dst FROM (SELECT src, dst FROM e WHERE label = 50) a JOIN (SELECT src, dst FROM e WHERE label = 50) b ON a.dst = b.src WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.label = 50 AND x.src = a.src AND x.dst = b.dst))"
-_LARGEST = "big AS (SELECT color, cnt FROM card WHERE label = -1 ORDER BY cnt DESC, color LIMIT 1)"
-_CARD2 = "card2 AS (SELECT color, label, sum(cnt)::BIGINT AS cnt FROM (SELECT color, label, cnt FROM card UNION ALL SELECT color, l, 20 FROM big, (VALUES (-1), (7), (9)) t(l)) u GROUP BY 1, 2)"
+_LARGEST = "big AS (SELECT cell, cnt FROM card WHERE label = -1 ORDER BY cnt DESC, cell LIMIT 1)"
+_CARD2 = "card2 AS (SELECT cell, label, sum(cnt)::BIGINT AS cnt FROM (SELECT cell, label, cnt FROM card UNION ALL SELECT cell, l, 20 FROM big, (VALUES (-1), (7), (9)) t(l)) u GROUP BY 1, 2)"
 
 
-@_query("update_nodes", _sql("SELECT color, label, cnt FROM card2", ACTIVITY, _hashed(4), *_EDGE_DEG, _LARGEST, _CARD2))
+@_query("update_nodes", _sql("SELECT cell, label, cnt FROM card2", ACTIVITY, _hashed(4), *_EDGE_DEG, _LARGEST, _CARD2))
 def update_nodes(spark, sf_dir):
-    return update.add_vertices(_summary(spark, sf_dir, "activity"), _new_vertices(spark)).color_card
+    return update.add_vertices(_summary(spark, sf_dir, "activity"), _new_vertices(spark)).cell_card
 
 
-@_query("update_nodes_dilution", _sql("SELECT edge_label, vlabel, c1, c2, round(avg_out * CASE WHEN c1 = (SELECT color FROM big) THEN (SELECT cnt::DOUBLE / (cnt + 20) FROM big) ELSE 1 END, 6) AS avg_out FROM edge_deg", ACTIVITY, _hashed(4), *_EDGE_DEG, _LARGEST))
+@_query("update_nodes_dilution", _sql("SELECT edge_label, vlabel, c1, c2, round(avg_out * CASE WHEN c1 = (SELECT cell FROM big) THEN (SELECT cnt::DOUBLE / (cnt + 20) FROM big) ELSE 1 END, 6) AS avg_out FROM edge_deg", ACTIVITY, _hashed(4), *_EDGE_DEG, _LARGEST))
 def update_nodes_dilution(spark, sf_dir):
     return _rounded(update.add_vertices(_summary(spark, sf_dir, "activity"), _new_vertices(spark)).edge_deg.select("edge_label", "vlabel", "c1", "c2", "avg_out"))
 
 
 _GROWN = [
     _TWO_STEPS,
-    "fl AS (SELECT l AS edge_label, a.color AS cs, b.color AS ct, count(*) AS m FROM nw JOIN colors a ON a.id = nw.src JOIN colors b ON b.id = nw.dst, (VALUES (50), (-1)) t(l) GROUP BY 1, 2, 3)",
-    "whole AS (SELECT color, cnt FROM card WHERE label = -1)",
-    "mo AS (SELECT edge_label, c.label AS vlabel, cs AS c1, ct AS c2, m * c.cnt::DOUBLE / w.cnt AS more FROM fl JOIN card c ON c.color = ct JOIN whole w ON w.color = ct)",
+    "fl AS (SELECT l AS edge_label, a.cell AS cs, b.cell AS ct, count(*) AS m FROM nw JOIN cells a ON a.id = nw.src JOIN cells b ON b.id = nw.dst, (VALUES (50), (-1)) t(l) GROUP BY 1, 2, 3)",
+    "whole AS (SELECT cell, cnt FROM card WHERE label = -1)",
+    "mo AS (SELECT edge_label, c.label AS vlabel, cs AS c1, ct AS c2, m * c.cnt::DOUBLE / w.cnt AS more FROM fl JOIN card c ON c.cell = ct JOIN whole w ON w.cell = ct)",
     """grown AS (SELECT edge_label, vlabel, c1, c2, CASE WHEN coalesce(more, 0) > 0 THEN least(coalesce(avg_out, 0) * n.cnt + more, n.cnt::DOUBLE * c.cnt) / n.cnt ELSE coalesce(avg_out, 0) END AS avg_out
-  FROM edge_deg FULL JOIN mo USING (edge_label, vlabel, c1, c2) JOIN whole n ON n.color = c1 JOIN card c ON c.color = c2 AND c.label = vlabel)""",
+  FROM edge_deg FULL JOIN mo USING (edge_label, vlabel, c1, c2) JOIN whole n ON n.cell = c1 JOIN card c ON c.cell = c2 AND c.label = vlabel)""",
 ]
 
 
@@ -508,7 +508,7 @@ def update_edges(spark, sf_dir):
     return _rounded(grown.edge_deg.where("avg_out > 0").select("edge_label", "vlabel", "c1", "c2", "avg_out"))
 
 
-@_query("estimate_after_update", _sql(f"SELECT {_log('coalesce(sum(s.cnt * a.avg_out * b.avg_out), 0)')} FROM card s JOIN grown a ON a.c1 = s.color AND a.edge_label = 50 AND a.vlabel = 7 JOIN grown b ON b.c1 = a.c2 AND b.edge_label = 50 AND b.vlabel = 7 WHERE s.label = 7", ACTIVITY, _hashed(4), *_EDGE_DEG, *_GROWN))
+@_query("estimate_after_update", _sql(f"SELECT {_log('coalesce(sum(s.cnt * a.avg_out * b.avg_out), 0)')} FROM card s JOIN grown a ON a.c1 = s.cell AND a.edge_label = 50 AND a.vlabel = 7 JOIN grown b ON b.c1 = a.c2 AND b.edge_label = 50 AND b.vlabel = 7 WHERE s.label = 7", ACTIVITY, _hashed(4), *_EDGE_DEG, *_GROWN))
 def estimate_after_update(spark, sf_dir):
     grown = update.add_edges(_summary(spark, sf_dir, "activity"), _new_edges(spark, sf_dir))
     return _rounded_estimate(estimate.estimate_frame(grown, Pattern.of(3, [(0, 1, 50), (1, 2, 50)], {0: 7, 1: 7, 2: 7}), "avg"))
@@ -570,9 +570,9 @@ def metric_box(spark, sf_dir):
     return _rounded(metrics.box(_judged(spark, sf_dir), "estimate", ["dataset"]))
 
 
-@_query("metric_degree_range", _sql("SELECT color, (max(deg) - min(deg))::BIGINT AS spread FROM deg JOIN colors USING (id) GROUP BY 1", COMMERCE, _hashed(8)))
+@_query("metric_degree_range", _sql("SELECT cell, (max(deg) - min(deg))::BIGINT AS spread FROM deg JOIN cells USING (id) GROUP BY 1", COMMERCE, _hashed(8)))
 def metric_degree_range(spark, sf_dir):
-    return stats.degree_ranges(*_colored(spark, sf_dir))
+    return stats.degree_ranges(*_celled(spark, sf_dir))
 
 
 _SHAPES = {name: p for name, (p, _, _) in _EXACT.items()}

@@ -1,4 +1,4 @@
-"""Degree statistics of color pairs and how an estimate grows by them, as column expressions.
+"""Degree statistics of cell pairs and how an estimate grows by them, as column expressions.
 
 Each kind tells which columns of the `edge_deg` table it needs and how a weight (and, for correlated
 estimates, its variance) is extended over an edge, summed and scaled. All stay inside code generation.

@@ -1,4 +1,4 @@
-"""Cycle statistics: how often a walk of given directions between two colors is closed by an edge from its start to its end."""
+"""Cycle statistics: how often a walk of given directions between two cells is closed by an edge from its start to its end."""
 
 from __future__ import annotations
 
@@ -41,28 +41,28 @@ def walk_counts(graph: PropertyGraph, max_edges: int, most_starts: int | None =
     return out.join(closing, ["n1", "n2"], "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
 
 
-def cycle_probabilities(graph: PropertyGraph, colors: DataFrame, max_cycle: int, min_support: float = MIN_SUPPORT, most_starts: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def cycle_probabilities(graph: PropertyGraph, cells: DataFrame, max_cycle: int, min_support: float = MIN_SUPPORT, most_starts: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(cycle_prob(path, c1, c2, prob), cycle_len_prob(len, prob)).
 
-    (path, wildcard, wildcard) rows hold for any colors. Rows of less than min_support walks are left
+    (path, wildcard, wildcard) rows hold for any cells. Rows of less than min_support walks are left
     out; lengths are always there. max_cycle < 2: both are empty.
     """
     spark = graph.edges.sparkSession
     if max_cycle < 2:
         return spark.createDataFrame([], "path string, c1 int, c2 int, prob double"), spark.createDataFrame([], "len int, prob double")
-    totals = cycle_totals(graph, colors, max_cycle, most_starts, seed)
+    totals = cycle_totals(graph, cells, max_cycle, most_starts, seed)
     by_path = totals.where((F.col("level") < 3) & (F.col("total") >= min_support))
     by_len = totals.where(F.col("level") == 3)
     prob = F.col("closed") / F.col("total")
     return by_path.select("path", F.coalesce("c1", F.lit(WILDCARD)).alias("c1"), F.coalesce("c2", F.lit(WILDCARD)).alias("c2"), prob.alias("prob")), by_len.select("len", prob.alias("prob"))
 
 
-def cycle_totals(graph: PropertyGraph, colors: DataFrame, max_cycle: int, most_starts: int | None = None, seed: int = 0) -> DataFrame:
+def cycle_totals(graph: PropertyGraph, cells: DataFrame, max_cycle: int, most_starts: int | None = None, seed: int = 0) -> DataFrame:
     """(path, len, c1, c2, level, total, closed) by (path, c1, c2), level 1, by path, 2, and by length, 3: one aggregation with grouping sets."""
     walks = walk_counts(graph, max_cycle - 1, most_starts, seed)
-    tint = lambda end, name: colors.select(F.col("id").alias(end), F.col("color").alias(name))
+    tint = lambda end, name: cells.select(F.col("id").alias(end), F.col("cell").alias(name))
     rows = walks.join(tint("n1", "c1"), "n1").join(tint("n2", "c2"), "n2")
-    # sums by colors first: the three roll-ups then read a table of colors
+    # sums by cells first: the three roll-ups then read a table of cells
     sums = rows.groupBy("path", "c1", "c2").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("closed"), F.col("w")).otherwise(0.0)).alias("closed"))
     level = F.when(F.grouping("c1") == 0, 1).when(F.grouping("path") == 0, 2).otherwise(3)
     sets = sums.withColumn("len", F.length("path")).groupingSets([["path", "len", "c1", "c2"], ["path", "len"], ["len"]], "path", "len", "c1", "c2")

@@ -1,7 +1,7 @@
-"""Estimates and bounds: the exact plan over the summary, colors for vertices and degrees for edges.
+"""Estimates and bounds: the exact plan over the summary, cells for vertices and degrees for edges.
 
-A partial estimate has a color for each live pattern vertex and a weight (and variance). Binding a vertex joins the
-statistics of its edge and label on the parent's color; a closing edge multiplies the weight by the chance that it is there;
+A partial estimate has a cell for each live pattern vertex and a weight (and variance). Binding a vertex joins the
+statistics of its edge and label on the parent's cell; a closing edge multiplies the weight by the chance that it is there;
 vertices without open edges are summed out.
 """
 
@@ -18,7 +18,7 @@ from ..plans.order import path_signs, shortest_sign
 from ..plans.steps import steps
 from .exact import WEIGHT, within
 from .sampling import limited, sample_paths
-from .summary import ColorSummary
+from .summary import CellSummary
 
 #: More partial estimates than this after a step give the kind's default.
 MOST_PARTIALS = 1_000_000
@@ -32,33 +32,33 @@ def _label(label: int | None) -> int:
     return WILDCARD if label is None else label
 
 
-def _cards(summary: ColorSummary, label: int | None) -> DataFrame:
-    return summary.color_card.where(F.col("label") == _label(label)).select("color", "cnt")
+def _cards(summary: CellSummary, label: int | None) -> DataFrame:
+    return summary.cell_card.where(F.col("label") == _label(label)).select("cell", "cnt")
 
 
-def _with_ids(summary: ColorSummary, ids: frozenset[int]) -> DataFrame:
-    """(color, found): colors that hold some of the ids, and how many. Full colors count as holding all of them."""
-    found = summary.color_member.where(F.col("id").isin(*sorted(ids))) if ids else summary.color_member.where(F.lit(False))
-    found = found.groupBy("color").agg(F.count("*").alias("found"))
-    if summary.full_colors:
-        full = summary.color_member.sparkSession.createDataFrame([(c, len(ids)) for c in summary.full_colors], "color int, found bigint")
-        found = found.unionByName(full).groupBy("color").agg(F.max("found").alias("found"))
+def _with_ids(summary: CellSummary, ids: frozenset[int]) -> DataFrame:
+    """(cell, found): cells that hold some of the ids, and how many. Full cells count as holding all of them."""
+    found = summary.cell_member.where(F.col("id").isin(*sorted(ids))) if ids else summary.cell_member.where(F.lit(False))
+    found = found.groupBy("cell").agg(F.count("*").alias("found"))
+    if summary.full_cells:
+        full = summary.cell_member.sparkSession.createDataFrame([(c, len(ids)) for c in summary.full_cells], "cell int, found bigint")
+        found = found.unionByName(full).groupBy("cell").agg(F.max("found").alias("found"))
     return found
 
 
-def _seed(summary: ColorSummary, pattern: Pattern, v: int, kind: Kind) -> DataFrame:
+def _seed(summary: CellSummary, pattern: Pattern, v: int, kind: Kind) -> DataFrame:
     vertex = pattern.vertices[v]
     rows = _cards(summary, vertex.label)
     count = F.col("cnt").cast("double")
     if vertex.ids is not None:
-        rows = rows.join(_with_ids(summary, vertex.ids), "color")
-        # averages: the ids are what is left of the color; an upper bound can't have more than either; no lower bound on a label
+        rows = rows.join(_with_ids(summary, vertex.ids), "cell")
+        # averages: the ids are what is left of the cell; an upper bound can't have more than either; no lower bound on a label
         count = {"min": F.when(F.col("found") >= F.col("cnt"), count).otherwise(F.lit(0.0)), "max": F.least(count, F.col("found").cast("double"))}.get(kind.name, F.least(count, F.col("found").cast("double")))
     state = kind.seed(count)
-    return rows.select(F.col("color").alias(_c(v)), *[x.alias(n) for n, x in state.items()])
+    return rows.select(F.col("cell").alias(_c(v)), *[x.alias(n) for n, x in state.items()])
 
 
-def _extended(summary: ColorSummary, pattern: Pattern, rows: DataFrame, parent: int, v: int, edge: PatternEdge, forward: bool, kind: Kind) -> DataFrame:
+def _extended(summary: CellSummary, pattern: Pattern, rows: DataFrame, parent: int, v: int, edge: PatternEdge, forward: bool, kind: Kind) -> DataFrame:
     roles = kind.columns(forward)
     vertex = pattern.vertices[v]
     slice_ = summary.edge_deg.where((F.col("edge_label") == _label(edge.label)) & (F.col("vlabel") == _label(vertex.label)))
@@ -67,8 +67,8 @@ def _extended(summary: ColorSummary, pattern: Pattern, rows: DataFrame, parent:
     state = kind.extend({n: F.col(n) for n in kind.state} | {r: F.col(f"_{r}") for r in roles})
     joined = joined.withColumns(state).drop(*[f"_{r}" for r in roles])
     if vertex.ids is not None:
-        share = _cards(summary, vertex.label).join(_with_ids(summary, vertex.ids), "color")
-        share = share.select(F.col("color").alias(_c(v)), F.least(F.lit(1.0), F.col("found") / F.col("cnt")).alias("_share"))
+        share = _cards(summary, vertex.label).join(_with_ids(summary, vertex.ids), "cell")
+        share = share.select(F.col("cell").alias(_c(v)), F.least(F.lit(1.0), F.col("found") / F.col("cnt")).alias("_share"))
         joined = _scaled(joined.join(share, _c(v)), kind, F.col("_share")).drop("_share")
     return joined
 
@@ -77,8 +77,8 @@ def _scaled(rows: DataFrame, kind: Kind, by: Column) -> DataFrame:
     return rows.withColumns(kind.scale({n: F.col(n) for n in kind.state}, by))
 
 
-def _closed(summary: ColorSummary, pattern: Pattern, rows: DataFrame, e: PatternEdge, done: list[PatternEdge], kind: Kind, stored: bool, shortest: bool) -> DataFrame:
-    """Scales by the chance that the closing edge exists between the two colors."""
+def _closed(summary: CellSummary, pattern: Pattern, rows: DataFrame, e: PatternEdge, done: list[PatternEdge], kind: Kind, stored: bool, shortest: bool) -> DataFrame:
+    """Scales by the chance that the closing edge exists between the two cells."""
     label = _label(pattern.vertices[e.dst].label)
     roles = kind.columns(True)
     slice_ = summary.edge_deg.where((F.col("edge_label") == _label(e.label)) & (F.col("vlabel") == label))
@@ -86,7 +86,7 @@ def _closed(summary: ColorSummary, pattern: Pattern, rows: DataFrame, e: Pattern
     a, b = F.col("c1"), F.col("c2")
     slice_ = slice_.select(a.alias("_a"), b.alias("_b"), F.col(deg).alias("_deg"))
     on = (rows[_c(e.src)] == slice_["_a"]) & (rows[_c(e.dst)] == slice_["_b"])
-    joined = rows.join(slice_, on)  # no such edges between the colors: no matches
+    joined = rows.join(slice_, on)  # no such edges between the cells: no matches
     known = [(x.src, x.dst) for x in done if x != e]
     signs = [] if e.src == e.dst else (shortest_sign if shortest else path_signs)(known, e.src, e.dst, max(1, summary.max_cycle - 1))
     absent: Column
@@ -104,14 +104,14 @@ def _closed(summary: ColorSummary, pattern: Pattern, rows: DataFrame, e: Pattern
             p = F.coalesce(F.col(f"_p{k}"), F.col(f"_q{k}"), F.col(f"_l{k}"), F.lit(default))
             absent = absent * F.pow(1 - p, F.lit(times))
     else:
-        cards = _cards(summary, pattern.vertices[e.dst].label).select(F.col("color").alias("_card_color"), "cnt")
-        joined = joined.join(cards, joined[_c(e.dst)] == cards["_card_color"]).drop("_card_color")
+        cards = _cards(summary, pattern.vertices[e.dst].label).select(F.col("cell").alias("_card_cell"), "cnt")
+        joined = joined.join(cards, joined[_c(e.dst)] == cards["_card_cell"]).drop("_card_cell")
         absent = 1 - F.least(F.lit(1.0), F.col("_deg") / F.col("cnt"))
     # edges that were added since the build aren't in the statistics
     if summary.added_edges:
         absent = absent * (1 - summary.added_edges / max(1, summary.n_vertices) ** 2)
     if e.src == e.dst and kind.name != "min":
-        pass  # a loop is an edge within the color, as likely as any other
+        pass  # a loop is an edge within the cell, as likely as any other
     joined = _scaled(joined, kind, 1 - absent)
     return joined.select(*rows.columns)
 
@@ -120,7 +120,7 @@ def _summed(rows: DataFrame, live: tuple[int, ...], kind: Kind) -> DataFrame:
     return rows.groupBy(*[_c(v) for v in live]).agg(*[F.sum(n).alias(n) for n in kind.state])
 
 
-def partial_estimates(summary: ColorSummary, pattern: Pattern, kind: Kind, stored_cycles: bool = True, shortest_only: bool = False, partial_sums: bool = True, cap: int | None = None, strategy: str = "redistributive", seed: int = 0, check=None, most_exact: int = 8) -> DataFrame:
+def partial_estimates(summary: CellSummary, pattern: Pattern, kind: Kind, stored_cycles: bool = True, shortest_only: bool = False, partial_sums: bool = True, cap: int | None = None, strategy: str = "redistributive", seed: int = 0, check=None, most_exact: int = 8) -> DataFrame:
     plan = steps(pattern, (), most_exact)
     rows, done = None, []
     for k, step in enumerate(plan):
@@ -142,7 +142,7 @@ def partial_estimates(summary: ColorSummary, pattern: Pattern, kind: Kind, store
     return rows
 
 
-def estimate_frame(summary: ColorSummary, pattern: Pattern, kind: str | Kind = "avg", **options) -> DataFrame:
+def estimate_frame(summary: CellSummary, pattern: Pattern, kind: str | Kind = "avg", **options) -> DataFrame:
     """One row, `estimate` (and `var` for correlated ones): the sum of all weights; components multiply."""
     kind = KINDS[kind] if isinstance(kind, str) else kind
     out = None
@@ -161,7 +161,7 @@ class _TooMany(Exception):
     pass
 
 
-def estimate(summary: ColorSummary, pattern: Pattern, kind: str = "avg", timeout: float | None = None, most_partials: int = MOST_PARTIALS, guard: bool = False, **options) -> float:
+def estimate(summary: CellSummary, pattern: Pattern, kind: str = "avg", timeout: float | None = None, most_partials: int = MOST_PARTIALS, guard: bool = False, **options) -> float:
     """The estimate as a number, or the kind's default if it takes longer than `timeout` seconds or, with `guard`, more than most_partials rows after a step."""
     k = KINDS[kind]
 
@@ -176,10 +176,10 @@ def estimate(summary: ColorSummary, pattern: Pattern, kind: str = "avg", timeout
         except _TooMany:
             return k.default
 
-    return within(summary.color_card.sparkSession, timeout, job, k.default)
+    return within(summary.cell_card.sparkSession, timeout, job, k.default)
 
 
-def estimate_all(summary: ColorSummary, patterns: dict[str, Pattern], kind: str = "avg", **options) -> DataFrame:
+def estimate_all(summary: CellSummary, patterns: dict[str, Pattern], kind: str = "avg", **options) -> DataFrame:
     """(pattern, estimate) of a query set, in one job."""
     out = None
     for name, p in patterns.items():

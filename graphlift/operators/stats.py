@@ -1,4 +1,4 @@
-"""Statistics of colored graphs: color sizes, label counts, degrees between colors."""
+"""Statistics of celled graphs: cell sizes, label counts, degrees between cells."""
 
 from __future__ import annotations
 
@@ -13,19 +13,19 @@ def with_wildcard(labels) -> F.Column:
     return F.array_distinct(F.concat(labels if not isinstance(labels, str) else F.col(labels), F.array(F.lit(WILDCARD))))
 
 
-def color_sizes(colors: DataFrame) -> DataFrame:
-    """(color, size)."""
-    return colors.groupBy("color").agg(F.count("*").alias("size"))
+def cell_sizes(cells: DataFrame) -> DataFrame:
+    """(cell, size)."""
+    return cells.groupBy("cell").agg(F.count("*").alias("size"))
 
 
-def color_card(graph: PropertyGraph, colors: DataFrame) -> DataFrame:
-    """(color, label, cnt): vertices of a color with a label; the wildcard has all."""
-    return graph.vertices.join(colors, "id").select("color", F.explode(with_wildcard("labels")).alias("label")).groupBy("color", "label").agg(F.count("*").alias("cnt"))
+def cell_card(graph: PropertyGraph, cells: DataFrame) -> DataFrame:
+    """(cell, label, cnt): vertices of a cell with a label; the wildcard has all."""
+    return graph.vertices.join(cells, "id").select("cell", F.explode(with_wildcard("labels")).alias("label")).groupBy("cell", "label").agg(F.count("*").alias("cnt"))
 
 
-def label_counts(graph: PropertyGraph, colors: DataFrame) -> DataFrame:
-    """(color, label, cnt) of real labels alone."""
-    return color_card(graph, colors).where(F.col("label") != WILDCARD)
+def label_counts(graph: PropertyGraph, cells: DataFrame) -> DataFrame:
+    """(cell, label, cnt) of real labels alone."""
+    return cell_card(graph, cells).where(F.col("label") != WILDCARD)
 
 
 def neighbour_labels(graph: PropertyGraph) -> DataFrame:
@@ -35,14 +35,14 @@ def neighbour_labels(graph: PropertyGraph) -> DataFrame:
     return ends.join(labels, "other").groupBy("id", "label").agg(F.count("*").alias("cnt"))
 
 
-def edge_deg(graph: PropertyGraph, colors: DataFrame, corr: bool = True) -> DataFrame:
-    """Degrees between colors: a row for each (edge_label, vlabel, c1, c2), where vlabel is the label of the c2 side.
+def edge_deg(graph: PropertyGraph, cells: DataFrame, corr: bool = True) -> DataFrame:
+    """Degrees between cells: a row for each (edge_label, vlabel, c1, c2), where vlabel is the label of the c2 side.
 
     avg_, min_, max_ and var_ are over all vertices of c1 (those without such an edge count 0), out for edges c1 -> c2 and in
     for c2 -> c1. corr_ is the Pearson correlation of the total degrees at the ends of the bucket's
     edges, 0 where one side doesn't vary. Two exchanges: by (bucket, vertex), then by bucket.
     """
-    tinted = graph.vertices.join(colors, "id").select("id", "color", with_wildcard("labels").alias("vlabels"))
+    tinted = graph.vertices.join(cells, "id").select("id", "cell", with_wildcard("labels").alias("vlabels"))
     if corr:
         tinted = tinted.join(graph.degrees().select("id", (F.col("d_in") + F.col("d_out")).alias("total")), "id")
     else:
@@ -50,7 +50,7 @@ def edge_deg(graph: PropertyGraph, colors: DataFrame, corr: bool = True) -> Data
     side = lambda c: tinted.select(*[F.col(x).alias(f"{x}_{c}") for x in tinted.columns])
     edges = graph.edges.select("src", "dst", with_wildcard("labels").alias("elabels"))
     both = edges.join(side("s"), F.col("src") == F.col("id_s")).join(side("d"), F.col("dst") == F.col("id_d"))
-    view = lambda near, far, out: both.select(F.explode("elabels").alias("edge_label"), F.col(f"vlabels_{far}").alias("vlabels"), F.col(f"color_{near}").alias("c1"), F.col(f"color_{far}").alias("c2"), F.col(f"id_{near}").alias("id"), F.col(f"total_{near}").alias("x"), F.col(f"total_{far}").alias("y"), F.lit(out).alias("is_out"))
+    view = lambda near, far, out: both.select(F.explode("elabels").alias("edge_label"), F.col(f"vlabels_{far}").alias("vlabels"), F.col(f"cell_{near}").alias("c1"), F.col(f"cell_{far}").alias("c2"), F.col(f"id_{near}").alias("id"), F.col(f"total_{near}").alias("x"), F.col(f"total_{far}").alias("y"), F.lit(out).alias("is_out"))
     flows = view("s", "d", True).unionByName(view("d", "s", False)).withColumn("vlabel", F.explode("vlabels")).drop("vlabels")
     bucket = ["edge_label", "vlabel", "c1", "c2"]
     y = F.col("y").cast("double")
@@ -65,7 +65,7 @@ def edge_deg(graph: PropertyGraph, colors: DataFrame, corr: bool = True) -> Data
             sums += [("sx", F.sum, d * F.col("x")), ("sxx", F.sum, d * F.col("x") * F.col("x")), ("sy", F.sum, F.col("sy")), ("syy", F.sum, F.col("syy")), ("sxy", F.sum, F.col("x") * F.col("sy"))]
         aggs += [f(when(out, col)).alias(f"{alias}_{name}") for alias, f, col in sums]
     found = per.groupBy(*bucket).agg(*aggs)
-    sizes = color_sizes(colors).select(F.col("color").alias("c1"), "size")
+    sizes = cell_sizes(cells).select(F.col("cell").alias("c1"), "size")
     found = found.join(sizes, "c1")
     columns = [F.col(c) for c in bucket]
     for name in ("in", "out"):
@@ -84,7 +84,7 @@ def edge_deg(graph: PropertyGraph, colors: DataFrame, corr: bool = True) -> Data
     return found.select(*columns)
 
 
-def degree_ranges(graph: PropertyGraph, colors: DataFrame) -> DataFrame:
-    """(color, spread): largest less smallest total degree within each color."""
+def degree_ranges(graph: PropertyGraph, cells: DataFrame) -> DataFrame:
+    """(cell, spread): largest less smallest total degree within each cell."""
     total = graph.degrees().select("id", (F.col("d_in") + F.col("d_out")).alias("deg"))
-    return total.join(colors, "id").groupBy("color").agg((F.max("deg") - F.min("deg")).alias("spread"))
+    return total.join(cells, "id").groupBy("cell").agg((F.max("deg") - F.min("deg")).alias("spread"))

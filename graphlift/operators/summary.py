@@ -1,4 +1,4 @@
-"""The color summary of a data graph: small tables, stored as Parquet."""
+"""The cell summary of a data graph: small tables, stored as Parquet."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
-from .coloring import SHORT, Stage, color_graph
+from .partition import SHORT, Stage, cell_graph
 from .cycles import cycle_probabilities
-from .stats import color_card, edge_deg
+from .stats import cell_card, edge_deg
 from .store import written
 
 
@@ -31,51 +31,51 @@ class SummaryParams:
 
 
 @dataclass(frozen=True)
-class ColorSummary:
-    """color_card(color, label, cnt), edge_deg, color_member(id, color), cycle_prob, cycle_len_prob; totals of the graph.
+class CellSummary:
+    """cell_card(cell, label, cnt), edge_deg, cell_member(id, cell), cycle_prob, cycle_len_prob; totals of the graph.
 
-    color_full(color) lists colors that count as holding any id (as a saturated filter would).
+    cell_full(cell) lists cells that count as holding any id (as a saturated filter would).
     """
 
-    color_card: DataFrame
+    cell_card: DataFrame
     edge_deg: DataFrame
-    color_member: DataFrame
+    cell_member: DataFrame
     cycle_prob: DataFrame
     cycle_len_prob: DataFrame
     n_vertices: int
     n_edges: int
     max_cycle: int
     added_edges: int = 0
-    full_colors: tuple[int, ...] = ()
+    full_cells: tuple[int, ...] = ()
     timings: dict[str, float] = field(default_factory=dict, compare=False)
 
-    TABLES = ("color_card", "edge_deg", "color_member", "cycle_prob", "cycle_len_prob")
+    TABLES = ("cell_card", "edge_deg", "cell_member", "cycle_prob", "cycle_len_prob")
 
     @property
-    def n_colors(self) -> int:
-        return self.color_member.agg(F.countDistinct("color")).first()[0]
+    def n_cells(self) -> int:
+        return self.cell_member.agg(F.countDistinct("cell")).first()[0]
 
     def save(self, path: str) -> None:
         for t in self.TABLES:
             out = getattr(self, t)
             # estimates look up one edge label at a time
             (out.repartition("edge_label").sortWithinPartitions("edge_label", "vlabel", "c1") if t == "edge_deg" else out).write.mode("overwrite").parquet(f"{path}/{t}")
-        spark = self.color_card.sparkSession
-        meta = [(self.n_vertices, self.n_edges, self.max_cycle, self.added_edges, list(self.full_colors))]
-        spark.createDataFrame(meta, "n_vertices bigint, n_edges bigint, max_cycle int, added_edges bigint, full_colors array<int>").write.mode("overwrite").json(f"{path}/meta")
+        spark = self.cell_card.sparkSession
+        meta = [(self.n_vertices, self.n_edges, self.max_cycle, self.added_edges, list(self.full_cells))]
+        spark.createDataFrame(meta, "n_vertices bigint, n_edges bigint, max_cycle int, added_edges bigint, full_cells array<int>").write.mode("overwrite").json(f"{path}/meta")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> ColorSummary:
-        meta = spark.read.schema("n_vertices bigint, n_edges bigint, max_cycle int, added_edges bigint, full_colors array<int>").json(f"{path}/meta").first()
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in cls.TABLES), meta["n_vertices"], meta["n_edges"], meta["max_cycle"], meta["added_edges"], tuple(meta["full_colors"]))
+    def load(cls, spark: SparkSession, path: str) -> CellSummary:
+        meta = spark.read.schema("n_vertices bigint, n_edges bigint, max_cycle int, added_edges bigint, full_cells array<int>").json(f"{path}/meta").first()
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in cls.TABLES), meta["n_vertices"], meta["n_edges"], meta["max_cycle"], meta["added_edges"], tuple(meta["full_cells"]))
 
     def footprint(self) -> dict[str, int]:
         """Rows of each table."""
         return {t: getattr(self, t).count() for t in self.TABLES}
 
 
-def summarize(graph: PropertyGraph, params: SummaryParams | None = None, colors: DataFrame | None = None) -> ColorSummary:
-    """Builds the summary, phase by phase; `colors` replaces the coloring. Each table is stored once built, and timed."""
+def summarize(graph: PropertyGraph, params: SummaryParams | None = None, cells: DataFrame | None = None) -> CellSummary:
+    """Builds the summary, phase by phase; `cells` replaces the partition. Each table is stored once built, and timed."""
     params = params or SummaryParams()
     timings: dict[str, float] = {}
 
@@ -85,19 +85,19 @@ def summarize(graph: PropertyGraph, params: SummaryParams | None = None, colors:
         timings[phase] = time.time() - begun
         return out
 
-    colors = timed("coloring", lambda: written(colors.select("id", F.col("color").cast("int").alias("color"))) if colors is not None else color_graph(graph, [Stage(*s) for s in params.stages]))
-    paths, lengths = timed("cycles", lambda: tuple(map(written, cycle_probabilities(graph, colors, params.max_cycle, most_starts=params.most_starts, seed=params.seed))))
-    card = timed("cardinalities", lambda: written(color_card(graph, colors)))
-    degrees = timed("edge_stats", lambda: written(edge_deg(graph, colors, corr=params.kind == "corr")))
+    cells = timed("partition", lambda: written(cells.select("id", F.col("cell").cast("int").alias("cell"))) if cells is not None else cell_graph(graph, [Stage(*s) for s in params.stages]))
+    paths, lengths = timed("cycles", lambda: tuple(map(written, cycle_probabilities(graph, cells, params.max_cycle, most_starts=params.most_starts, seed=params.seed))))
+    card = timed("cardinalities", lambda: written(cell_card(graph, cells)))
+    degrees = timed("edge_stats", lambda: written(edge_deg(graph, cells, corr=params.kind == "corr")))
     n, m = timed("totals", graph.totals)
-    return ColorSummary(card, degrees, colors, paths, lengths, n, m, params.max_cycle, timings=timings)
+    return CellSummary(card, degrees, cells, paths, lengths, n, m, params.max_cycle, timings=timings)
 
 
-def build_report(summary: ColorSummary, dataset: str, params: SummaryParams) -> DataFrame:
+def build_report(summary: CellSummary, dataset: str, params: SummaryParams) -> DataFrame:
     """Rows (Dataset, Partitioner, NumColors, BuildPhase, BuildTime, MemoryFootprint) of a build, for a CSV sink."""
-    spark = summary.color_card.sparkSession
+    spark = summary.cell_card.sparkSession
     rows = sum(summary.footprint().values())
     name = "".join(f"{SHORT[m]}{k}" for m, k in params.stages)
-    return spark.createDataFrame([(dataset, name, summary.n_colors, phase, float(t), float(rows)) for phase, t in summary.timings.items()], "Dataset string, Partitioner string, NumColors bigint, BuildPhase string, BuildTime double, MemoryFootprint double")
+    return spark.createDataFrame([(dataset, name, summary.n_cells, phase, float(t), float(rows)) for phase, t in summary.timings.items()], "Dataset string, Partitioner string, NumColors bigint, BuildPhase string, BuildTime double, MemoryFootprint double")
 
 

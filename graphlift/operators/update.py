@@ -1,7 +1,7 @@
 """Incremental maintenance of an average-degree summary, one batch at a time.
 
-New vertices go to the color that is largest when the batch begins; its averages are diluted by its growth. New
-edges raise the averages between their ends' colors as far as the pair's capacity allows. All deltas of a batch are
+New vertices go to the cell that is largest when the batch begins; its averages are diluted by its growth. New
+edges raise the averages between their ends' cells as far as the pair's capacity allows. All deltas of a batch are
 sums, so their order within a batch doesn't matter.
 """
 
@@ -15,65 +15,65 @@ from pyspark.sql import functions as F
 from ..model import WILDCARD, clean
 from .stats import with_wildcard
 from .store import written
-from .summary import ColorSummary
+from .summary import CellSummary
 
 
-def largest_color(summary: ColorSummary) -> int:
-    """The color of most vertices, the lowest of equals."""
-    sizes = summary.color_card.where(F.col("label") == WILDCARD)
-    row = sizes.agg(F.max_by("color", F.struct("cnt", -F.col("color")))).first()
+def largest_cell(summary: CellSummary) -> int:
+    """The cell of most vertices, the lowest of equals."""
+    sizes = summary.cell_card.where(F.col("label") == WILDCARD)
+    row = sizes.agg(F.max_by("cell", F.struct("cnt", -F.col("cell")))).first()
     return row[0] if row[0] is not None else 1
 
 
-def vertex_colors(summary: ColorSummary, ids: DataFrame) -> DataFrame:
-    """(id, color): the lowest color that holds the id, or counts as full; the largest color for unknown ids."""
-    known = ids.select("id").distinct().join(summary.color_member, "id", "left")
-    fallback = F.lit(largest_color(summary))
-    color = F.least("color", F.lit(min(summary.full_colors))) if summary.full_colors else F.col("color")
-    return known.groupBy("id").agg(F.min(color).alias("color")).select("id", F.coalesce("color", fallback).alias("color"))
+def vertex_cells(summary: CellSummary, ids: DataFrame) -> DataFrame:
+    """(id, cell): the lowest cell that holds the id, or counts as full; the largest cell for unknown ids."""
+    known = ids.select("id").distinct().join(summary.cell_member, "id", "left")
+    fallback = F.lit(largest_cell(summary))
+    cell = F.least("cell", F.lit(min(summary.full_cells))) if summary.full_cells else F.col("cell")
+    return known.groupBy("id").agg(F.min(cell).alias("cell")).select("id", F.coalesce("cell", fallback).alias("cell"))
 
 
-def add_vertices(summary: ColorSummary, vertices: DataFrame) -> ColorSummary:
+def add_vertices(summary: CellSummary, vertices: DataFrame) -> CellSummary:
     """vertices(id, labels): new ones."""
-    color = largest_color(summary)
-    fresh = written(vertices.select("id", clean("labels").alias("labels")).dropDuplicates(["id"]).join(summary.color_member.select("id"), "id", "left_anti"))
+    cell = largest_cell(summary)
+    fresh = written(vertices.select("id", clean("labels").alias("labels")).dropDuplicates(["id"]).join(summary.cell_member.select("id"), "id", "left_anti"))
     n_new = fresh.count()
-    size = summary.color_card.where((F.col("label") == WILDCARD) & (F.col("color") == color)).agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
+    size = summary.cell_card.where((F.col("label") == WILDCARD) & (F.col("cell") == cell)).agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
     if not n_new:
         return summary
-    counts = fresh.select(F.lit(color).alias("color"), F.explode(with_wildcard("labels")).alias("label")).groupBy("color", "label").agg(F.count("*").alias("cnt"))
-    card = summary.color_card.unionByName(counts).groupBy("color", "label").agg(F.sum("cnt").alias("cnt"))
+    counts = fresh.select(F.lit(cell).alias("cell"), F.explode(with_wildcard("labels")).alias("label")).groupBy("cell", "label").agg(F.count("*").alias("cnt"))
+    card = summary.cell_card.unionByName(counts).groupBy("cell", "label").agg(F.sum("cnt").alias("cnt"))
     by = size / (size + n_new)
-    diluted = {c: F.when(F.col("c1") == color, F.col(c) * by).otherwise(F.col(c)) for c in ("avg_in", "avg_out")}
-    members = summary.color_member.unionByName(fresh.select("id", F.lit(color).alias("color")))
-    return replace(summary, color_card=written(card), edge_deg=written(summary.edge_deg.withColumns(diluted)), color_member=written(members), n_vertices=summary.n_vertices + n_new)
+    diluted = {c: F.when(F.col("c1") == cell, F.col(c) * by).otherwise(F.col(c)) for c in ("avg_in", "avg_out")}
+    members = summary.cell_member.unionByName(fresh.select("id", F.lit(cell).alias("cell")))
+    return replace(summary, cell_card=written(card), edge_deg=written(summary.edge_deg.withColumns(diluted)), cell_member=written(members), n_vertices=summary.n_vertices + n_new)
 
 
-def add_edges(summary: ColorSummary, edges: DataFrame) -> ColorSummary:
+def add_edges(summary: CellSummary, edges: DataFrame) -> CellSummary:
     """edges(src, dst, labels) between vertices; the totals of the graph stay, added_edges grows."""
     batch = written(edges.select("src", "dst", with_wildcard(clean("labels")).alias("elabels")))
     n_new = batch.count()
     if not n_new:
         return summary
     ends = batch.select(F.col("src").alias("id")).unionByName(batch.select(F.col("dst").alias("id")))
-    tint = written(vertex_colors(summary, ends))
-    side = lambda key, name: tint.select(F.col("id").alias(key), F.col("color").alias(name))
-    colored = batch.join(side("src", "cs"), "src").join(side("dst", "ct"), "dst")
-    flows = colored.select(F.explode("elabels").alias("edge_label"), "cs", "ct").groupBy("edge_label", "cs", "ct").agg(F.count("*").alias("m"))
-    card = summary.color_card
+    tint = written(vertex_cells(summary, ends))
+    side = lambda key, name: tint.select(F.col("id").alias(key), F.col("cell").alias(name))
+    celled = batch.join(side("src", "cs"), "src").join(side("dst", "ct"), "dst")
+    flows = celled.select(F.explode("elabels").alias("edge_label"), "cs", "ct").groupBy("edge_label", "cs", "ct").agg(F.count("*").alias("m"))
+    card = summary.cell_card
     whole = card.where(F.col("label") == WILDCARD)
 
     def deltas(near: str, far: str, column: str) -> DataFrame:
-        """Edges from near to far, shared out to the labels of far's color."""
+        """Edges from near to far, shared out to the labels of far's cell."""
         rows = flows.select("edge_label", F.col(near).alias("c1"), F.col(far).alias("c2"), "m")
-        labels = card.select(F.col("color").alias("c2"), F.col("label").alias("vlabel"), F.col("cnt").alias("labelled"))
-        far_size = whole.select(F.col("color").alias("c2"), F.col("cnt").alias("far"))
+        labels = card.select(F.col("cell").alias("c2"), F.col("label").alias("vlabel"), F.col("cnt").alias("labelled"))
+        far_size = whole.select(F.col("cell").alias("c2"), F.col("cnt").alias("far"))
         return rows.join(labels, "c2").join(far_size, "c2").select("edge_label", "vlabel", "c1", "c2", (F.col("m") * F.col("labelled") / F.col("far")).alias(column))
 
     keys = ["edge_label", "vlabel", "c1", "c2"]
     more = deltas("cs", "ct", "more_out").join(deltas("ct", "cs", "more_in"), keys, "full")
-    size = whole.select(F.col("color").alias("c1"), F.col("cnt").alias("near"))
-    labelled = card.select(F.col("color").alias("c2"), F.col("label").alias("vlabel"), F.col("cnt").alias("labelled"))
+    size = whole.select(F.col("cell").alias("c1"), F.col("cnt").alias("near"))
+    labelled = card.select(F.col("cell").alias("c2"), F.col("label").alias("vlabel"), F.col("cnt").alias("labelled"))
     rows = summary.edge_deg.join(more, keys, "full").join(size, "c1").join(labelled, ["c2", "vlabel"])
 
     def grown(side: str):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..operators.summary import ColorSummary
+from ..operators.summary import CellSummary
 from ..operators.update import add_edges, add_vertices
 
 
@@ -17,11 +17,11 @@ class SummaryStream:
     each batch the summary is stored under `path`, if given.
     """
 
-    def __init__(self, summary: ColorSummary, path: str | None = None):
+    def __init__(self, summary: CellSummary, path: str | None = None):
         self.summary, self.path = summary, path
         self._last: dict[str, int] = {}
 
-    def _apply(self, kind: str, change: Callable[[ColorSummary, DataFrame], ColorSummary]):
+    def _apply(self, kind: str, change: Callable[[CellSummary, DataFrame], CellSummary]):
         def batch(df: DataFrame, number: int) -> None:
             if number <= self._last.get(kind, -1):
                 return

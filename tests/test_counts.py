@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphlift import fixtures
 from graphlift.model import EDGE_SCHEMA, VERTEX_SCHEMA, Pattern, PropertyGraph, random_graph
-from graphlift.operators import coloring, exact, sampling
+from graphlift.operators import partition, exact, sampling
 from graphlift.operators.estimate import estimate
 from graphlift.operators.summary import SummaryParams, summarize
 
@@ -75,7 +75,7 @@ def test_timeouts_give_minus_one(spark):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_bounds_hold_for_any_coloring(spark, seed):
+def test_bounds_hold_for_any_partition(spark, seed):
     v, e = random_data(seed, n=12, m=30)
     g = graph_of(spark, v, e)
     for stages in ((("hash", 3),), (("degree", 3), ("node_labels", 2))):
@@ -88,10 +88,10 @@ def test_bounds_hold_for_any_coloring(spark, seed):
             assert estimate(s, p, "avg", partial_sums=False) == pytest.approx(mid)
 
 
-def test_one_color_for_each_vertex_is_exact_without_cycles(spark):
+def test_one_cell_for_each_vertex_is_exact_without_cycles(spark):
     v, e = random_data(5)
     g = graph_of(spark, v, e)
-    own = g.vertices.select("id", (F.col("id") + 1).cast("int").alias("color"))
+    own = g.vertices.select("id", (F.col("id") + 1).cast("int").alias("cell"))
     s = summarize(g, SummaryParams(kind="corr", max_cycle=0), own)
     for p in (PATTERNS[0], Pattern.of(4, [(0, 1), (1, 2), (1, 3)], {3: 1}), Pattern.of(2, [(0, 1)], ids={1: [2, 3]})):
         for kind in ("min", "avg", "max", "corr"):
@@ -128,22 +128,22 @@ def test_sampled_counts_are_near(spark, sf_dir):
     assert sampling.random_walk(g, p, seed=1).first()[0] == pytest.approx(true, rel=0.2)
 
 
-def test_colorings_keep_their_promises(spark, sf_dir):
+def test_partitions_keep_their_promises(spark, sf_dir):
     g = fixtures.graph(spark, sf_dir)
     n = g.vertices.count()
     before = None
     for k in (1, 4, 12):
-        colors = coloring.color_graph(g, [("quasi_stable", k)])
-        rows = {r[0]: r[1] for r in colors.groupBy("color").count().collect()}
+        cells = partition.cell_graph(g, [("quasi_stable", k)])
+        rows = {r[0]: r[1] for r in cells.groupBy("cell").count().collect()}
         assert sum(rows.values()) == n and sorted(rows) == list(range(1, len(rows) + 1)) and len(rows) <= k
         from graphlift.operators.stats import degree_ranges
 
-        widest = degree_ranges(g, colors).agg(F.max("spread")).first()[0]
+        widest = degree_ranges(g, cells).agg(F.max("spread")).first()[0]
         assert before is None or widest <= before
         before = widest
     for stages in ([("hash", 5), ("degree", 4), ("neighbour_labels", 2), ("node_labels", 3)], [("node_labels", 50)]):
-        colors = coloring.color_graph(g, stages)
-        rows = {r[0]: r[1] for r in colors.groupBy("color").count().collect()}
+        cells = partition.cell_graph(g, stages)
+        rows = {r[0]: r[1] for r in cells.groupBy("cell").count().collect()}
         assert sum(rows.values()) == n and sorted(rows) == list(range(1, len(rows) + 1)) and len(rows) <= sum(k for _, k in stages)
 
 

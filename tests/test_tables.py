@@ -5,10 +5,10 @@ from graphlift import fixtures
 from graphlift.model import Pattern, PropertyGraph
 from graphlift.operators import metrics
 from graphlift.operators.estimate import estimate
-from graphlift.operators.stats import color_card
+from graphlift.operators.stats import cell_card
 from graphlift.operators.store import opened, stored
-from graphlift.operators.summary import ColorSummary, SummaryParams, build_report, summarize
-from graphlift.operators.update import add_edges, add_vertices, hold_out, largest_color, vertex_colors
+from graphlift.operators.summary import CellSummary, SummaryParams, build_report, summarize
+from graphlift.operators.update import add_edges, add_vertices, hold_out, largest_cell, vertex_cells
 from graphlift.sources import results, text
 from graphlift.streaming.update import SummaryStream
 
@@ -99,13 +99,13 @@ def test_summaries_are_stored_whole(spark, sf_dir, tmp_path):
     params = SummaryParams((("hash", 4),), "corr", 3)
     s = summarize(g, params)
     s.save(str(tmp_path / params.name()))
-    again = ColorSummary.load(spark, str(tmp_path / params.name()))
+    again = CellSummary.load(spark, str(tmp_path / params.name()))
     p = Pattern.of(3, [(0, 1, 50), (1, 2, 50), (2, 0, 50)])
     for kind in ("min", "avg", "max", "corr"):
         assert estimate(again, p, kind) == pytest.approx(estimate(s, p, kind))
     assert build_report(s, "activity", params).count() == 5
-    # colors sum up to the whole, whatever the coloring
-    assert s.color_card.where("label = -1").agg(F.sum("cnt")).first()[0] == g.vertices.count()
+    # cells sum up to the whole, whatever the partition
+    assert s.cell_card.where("label = -1").agg(F.sum("cnt")).first()[0] == g.vertices.count()
 
 
 def test_updates_in_one_batch_and_in_many(spark, sf_dir, tmp_path):
@@ -117,7 +117,7 @@ def test_updates_in_one_batch_and_in_many(spark, sf_dir, tmp_path):
     assert grown.added_edges == held.count() and grown.n_edges == s.n_edges
     before, after = (x.edge_deg.agg(F.sum("avg_out")).first()[0] for x in (s, grown))
     assert after > before
-    caps = grown.edge_deg.join(grown.color_card.select(F.col("color").alias("c2"), F.col("label").alias("vlabel"), "cnt"), ["c2", "vlabel"])
+    caps = grown.edge_deg.join(grown.cell_card.select(F.col("cell").alias("c2"), F.col("label").alias("vlabel"), "cnt"), ["c2", "vlabel"])
     assert caps.where(F.col("avg_out") > F.col("cnt") + 1e-9).count() == 0
     held.repartition(2).write.parquet(str(tmp_path / "edges"))
     stream = SummaryStream(s)
@@ -128,18 +128,18 @@ def test_updates_in_one_batch_and_in_many(spark, sf_dir, tmp_path):
     assert stream.summary.added_edges == grown.added_edges
 
 
-def test_new_vertices_go_to_the_largest_color(spark, sf_dir):
+def test_new_vertices_go_to_the_largest_cell(spark, sf_dir):
     g = fixtures.graph(spark, sf_dir, "activity")
     s = summarize(g, SummaryParams((("hash", 3),), "avg", 0))
-    big = largest_color(s)
+    big = largest_cell(s)
     new = spark.createDataFrame([(77_000, [7, 7]), (77_001, [])], "id bigint, labels array<int>")
     grown = add_vertices(s, new)
     assert grown.n_vertices == s.n_vertices + 2
-    assert {r["color"] for r in vertex_colors(grown, new).collect()} == {big}
-    gained = grown.color_card.join(s.color_card.withColumnRenamed("cnt", "old"), ["color", "label"]).where("cnt > old")
-    assert rows(gained.withColumn("more", F.col("cnt") - F.col("old")), "color", "label", "more") == [(big, -1, 2), (big, 7, 1)]
+    assert {r["cell"] for r in vertex_cells(grown, new).collect()} == {big}
+    gained = grown.cell_card.join(s.cell_card.withColumnRenamed("cnt", "old"), ["cell", "label"]).where("cnt > old")
+    assert rows(gained.withColumn("more", F.col("cnt") - F.col("old")), "cell", "label", "more") == [(big, -1, 2), (big, 7, 1)]
     assert add_vertices(grown, new).n_vertices == grown.n_vertices
-    assert color_card(g, s.color_member).count() == s.color_card.count()
+    assert cell_card(g, s.cell_member).count() == s.cell_card.count()
 
 
 def test_metrics(spark):
