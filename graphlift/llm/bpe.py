@@ -106,41 +106,27 @@ class Splitter:
         plain = list(texts)
         for i in odd:
             plain[i] = ""
-        distinct: list[str] = []
+        index: dict[str, int] = {}
         at: list[np.ndarray] = []
         counts: list[np.ndarray] = []
-        seen = np.zeros(0, np.uint64)
-        number = np.zeros(0, np.int64)
         for a, b in vector.groups(plain):
             joined, code, starts, ends, per = self.spans(plain[a:b])
-            keys, first, inverse = np.unique(vector.slice_hashes(code, starts, ends), return_index=True, return_inverse=True)
-            place = np.minimum(np.searchsorted(seen, keys), max(len(seen) - 1, 0))
-            known = seen[place] == keys if len(seen) else np.zeros(len(keys), bool)
-            ids = np.empty(len(keys), np.int64)
-            ids[known] = number[place[known]] if len(seen) else 0
-            fresh = np.flatnonzero(~known)
-            ids[fresh] = len(distinct) + np.arange(len(fresh))
-            distinct.extend(joined[s:e] for s, e in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True))
-            order = np.argsort(merged := np.concatenate((seen, keys[fresh])), kind="stable")
-            seen, number = merged[order], np.concatenate((number, ids[fresh]))[order]
-            at.append(ids[inverse])
+            first, inverse = vector.distinct(code, starts, ends)
+            own = [index.setdefault(joined[s:e], len(index)) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            at.append(np.array(own, np.int64)[inverse])
             counts.append(per)
         per = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         flat = np.concatenate(at) if at else np.zeros(0, np.int64)
         if odd:
-            index = {w: i for i, w in enumerate(distinct)}
             rows = np.split(flat, np.cumsum(per)[:-1])
             for i in odd:
                 ids = []
                 for w in self.slow(texts[i]):
-                    if w not in index:
-                        index[w] = len(distinct)
-                        distinct.append(w)
-                    ids.append(index[w])
+                    ids.append(index.setdefault(w, len(index)))
                 rows[i] = np.array(ids, np.int64)
             flat = np.concatenate(rows)
             per = np.fromiter(map(len, rows), np.int64, len(rows))
-        return distinct, flat, per
+        return list(index), flat, per
 
 
 class Coder:

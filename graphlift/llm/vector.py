@@ -15,20 +15,9 @@ NON_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 #: Lower-cases A-Z alone; the other bytes of UTF-8 stay.
 LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Hashed at once: arrays of 8 bytes a unit that stay in the processor's cache.
-_SPAN = 1 << 19
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1024), base, U64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps)
-    return have[:n]
+#: Slices over so many bytes are hashed one by one.
+_LONG = 256
+_PART = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,23 +30,46 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each values[start:end]; starts ascend. Differences of one prefix sum give them all."""
-    out = np.empty(len(starts), U64)
-    at = 0
-    while at < len(starts):
-        low = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, low + _SPAN, "right")))
-        high = int(ends[to - 1])
-        sums = np.zeros(high - low + 1, U64)
-        np.cumsum((values[low:high].astype(U64) + U64(1)) * _power(_BASE, high - low), out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        h = (sums[e] - sums[s]) * _power(_INVERSE, high - low + 1)[s]
-        out[at:to] = mix(h ^ ((e - s).astype(U64) * U64(0x2545F4914F6CDD1D)))
-        at = to
+def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each values[start:end].
+
+    Eight bytes a round go through a finaliser that is one-to-one, with the length in the first state: slices of one length
+    up to 8 bytes never share a hash, others do by chance alone, one pair in 2^64. Long slices, few for their size, are hashed by XXH3.
+    """
+    import xxhash
+
+    width = values.dtype.itemsize
+    raw = np.zeros(values.nbytes + 8, np.uint8)
+    raw[: values.nbytes] = np.ascontiguousarray(values).view(np.uint8)
+    eight = np.ndarray((values.nbytes + 1,), "<u8", raw.data, strides=(1,))
+    at, size = starts * width, (ends - starts) * width
+    out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(2 * seed + 1))
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[at[i] : at[i] + size[i]].data, seed=seed)
+    left = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, size, state = at[left], size[left], out[left]
+    while len(left):
+        block = eight[at]
+        last = size < 8
+        block[last] &= _PART[size[last]]
+        state = mix(state ^ block)
+        out[left] = state
+        more = np.flatnonzero(size > 8)
+        left, at, size, state = left[more], at[more] + 8, size[more] - 8, state[more] * U64(0x9DDFEA08EB382D69)
     return out
 
 
+def distinct(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each distinct slice's first occurrence, number of the distinct slice at each place). Equal hashes are told apart by the values themselves."""
+    _, first, inverse = np.unique(slice_hashes(values, starts, ends), return_index=True, return_inverse=True)
+    size, like = ends - starts, first[inverse]
+    if np.array_equal(size, size[like]) and np.array_equal(values[ragged(starts, size)], values[ragged(starts[like], size)]):
+        return first, inverse
+    seen: dict[bytes, int] = {}
+    number = np.array([seen.setdefault(values[s:e].tobytes(), len(seen)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.unique(number, return_index=True)[1], number
+
+
 def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """np.searchsorted(table, keys) for large tables: sorted keys walk through the table instead of jumping about in it."""
     order = np.argsort(keys)

@@ -68,3 +68,13 @@ def docs(spark, sf_dir):
 @pytest.fixture(scope="session")
 def texts(docs):
     return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+@pytest.fixture(scope="session")
+def thue_morse():
+    """Pairs of words that any polynomial hash modulo 2^64 takes for the same: the sequence and its complement."""
+    out = []
+    for n in (1024, 2048, 65_536):
+        bits = [bin(i).count("1") & 1 for i in range(n)]
+        out += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    return out

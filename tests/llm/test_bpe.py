@@ -54,3 +54,29 @@ def test_ids_and_decoded_texts_come_back(awkward_docs, awkward):
 def test_clashing_columns_and_empty_tables(clashing_docs, empty_docs, awkward):
     assert bpe.encode(clashing_docs).count() == len(awkward)
     assert bpe.encode(empty_docs).count() == 0
+
+
+def test_words_with_equal_hashes_are_told_apart(monkeypatch, thue_morse):
+    """Long words that a polynomial hash confuses, and a hash that gives all words one value."""
+    import numpy as np
+
+    from graphlift.llm import vector
+
+    texts = [" ".join(thue_morse), "a b a c", *thue_morse]
+    splitter = bpe.Splitter()
+    for hashes in (vector.slice_hashes, lambda values, starts, ends, seed=0: np.zeros(len(starts), np.uint64)):
+        monkeypatch.setattr(vector, "slice_hashes", hashes)
+        distinct, flat, per = splitter.words(texts)
+        found, at = [], 0
+        for n in per.tolist():
+            found.append([distinct[i] for i in flat[at : at + n]])
+            at += n
+        assert found == [splitter.slow(t) for t in texts]
+        assert len(set(distinct)) == len(distinct)
+
+
+def test_long_words_equal_the_library(spark, thue_morse):
+    tokenizer = Tokenizer.from_file(bpe.default_path())
+    docs = spark.createDataFrame(list(enumerate(thue_morse)), "doc_id bigint, text string")
+    for r in bpe.encode(docs).collect():
+        assert tuple(r)[1:] == expected(tokenizer, thue_morse[r["doc_id"]])
