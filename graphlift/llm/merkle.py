@@ -1,7 +1,8 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections.
 
 A section ends at an empty line, a paragraph at a line's end, a piece at a sentence's end or after a word that
-the text itself marks (so a piece that isn't touched by an edit stays as it is). A piece's digest is
+the text itself marks (so a piece that isn't touched by an edit stays as it is). Runs without blanks, as in scripts that have none, are cut
+at characters that the ones before them mark, and no piece is longer than 240 bytes. A piece's digest is
 of its characters, with what separates it from the next one; a node's digest is of its children's. Equal
 roots mean equal texts; unequal branches lead to the edits.
 
@@ -10,8 +11,11 @@ piece as 6 hexadecimal digits of its digest and one sign for its weight. The lik
 fingerprints is the weight of the pieces that both have, twice, over the weight of all pieces: 1 for equal roots, 0
 if nothing is shared.
 
+Digests are 128 bits wide down to the paragraphs: unequal texts share a root by chance alone. The written 24 bits of a piece serve likeness only.
+
 Null texts count as empty; two empty texts are alike (1). Repeated rows stay, ordered by key and then text.
-Other columns are ignored. Texts are taken whole.
+Other columns are ignored, whatever their names. Texts are taken whole. An empty table gives no rows. Rows of one key, or without one, are
+read by one task, one after the other.
 """
 
 from __future__ import annotations
@@ -30,9 +34,30 @@ _WEIGHTS = b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 _WIDTH = 7
 #: A blank ends a piece if the two bytes before it are marked: a sentence's end, or one pair in six.
+_RUN, _LONGEST = 24, 240
 _MARKED = np.array([[b in b".!?" or (a * 131 + b * 31) // 2 % 6 == 0 for b in range(256)] for a in range(256)])
 
 
+def _cut_runs(data: np.ndarray, apart: np.ndarray, piece: np.ndarray) -> None:
+    """Marks pieces within long runs without a blank: at a character whose four bytes before say so, and where a piece grows too long."""
+    n = len(data)
+    place = np.arange(n)
+    if n > _RUN:
+        since = place - np.maximum.accumulate(np.where(apart, place, np.where(piece[:n], place - 1, -1)))
+        at = np.flatnonzero((since > _RUN) & ((data & 0xC0) != 0x80))
+        at = at[at >= 4]
+        b = [data[at - k].astype(np.uint32) for k in (1, 2, 3, 4)]
+        mark = (b[0] * 0x9E3779B1 + b[1] * 0x85EBCA77 + b[2] * 0xC2B2AE3D + b[3] * 0x27D4EB2F) >> np.uint32(26)
+        piece[at[(mark < 2) & ((b[0] != b[1]) | (b[1] != b[2]))]] = True
+    starts = np.flatnonzero(piece[:n])
+    size = np.append(starts[1:], n) - starts
+    for s, m in zip(starts[size > _LONGEST].tolist(), size[size > _LONGEST].tolist(), strict=True):
+        cuts = np.arange(s + _LONGEST - 3, s + m, _LONGEST - 3)
+        for _ in range(3):  # back to the first byte of a character
+            cuts = np.where((data[cuts] & 0xC0) == 0x80, cuts - 1, cuts)
+        piece[cuts] = True
+
+
 class Forest:
     """Merkle trees of many texts (UTF-8), as arrays: pieces, paragraphs, sections and roots."""
 
@@ -50,24 +75,28 @@ class Forest:
         piece = paragraph.copy()
         at = np.flatnonzero(~blank[3:] & blank[2:-1]) + 3 if n > 3 else np.zeros(0, np.int64)
         piece[at[_MARKED[data[at - 3], data[at - 2]]]] = True
+        _cut_runs(data, blank | line, piece)
         self.starts = np.flatnonzero(piece[:n])
         self.ends = np.append(self.starts[1:], n)[: len(self.starts)]
         self.digests = vector.slice_hashes(data, self.starts, self.ends)
+        # a second, independent digest makes nodes 128 bits wide
+        twin = vector.slice_hashes(data, self.starts, self.ends, 1)
         self.bytes = self.ends - self.starts
         # paragraphs as runs of pieces; a line without text ends its section
         p_first = np.flatnonzero(paragraph[self.starts])
         p_starts = self.starts[p_first]
         p_last = np.append(p_first[1:], len(self.starts))
-        self.paragraphs = vector.slice_hashes(self.digests, p_first, p_last)
+        paragraphs = [vector.slice_hashes(d, p_first, p_last, k) for k, d in enumerate((self.digests, twin))]
         text_bytes = np.concatenate(([0], np.cumsum(~blank & ~line & (data != 0x0D))))
         p_ends = np.append(p_starts[1:], n)[: len(p_starts)]
         empty = text_bytes[p_ends] == text_bytes[p_starts]
         section = np.ones(len(p_first), bool)
         section[1:] = empty[:-1] | starts_text[p_starts[1:]]
         s_first = np.flatnonzero(section)
-        self.sections = vector.slice_hashes(self.paragraphs, s_first, np.append(s_first[1:], len(p_first)))
+        s_last = np.append(s_first[1:], len(p_first))
+        sections = np.stack([vector.slice_hashes(d, s_first, s_last, k) for k, d in enumerate(paragraphs)], axis=1)
         of_text = np.searchsorted(p_starts[s_first], first)
-        self.roots = [hashlib.blake2b(b"%d:" % m + self.sections[i:j].tobytes(), digest_size=16).hexdigest() for m, i, j in zip(sizes.tolist(), of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)]
+        self.roots = [hashlib.blake2b(b"%d:" % m + sections[i:j].tobytes(), digest_size=16).hexdigest() for m, i, j in zip(sizes.tolist(), of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)]
         self.first = np.searchsorted(self.starts, first)
         # written form: short digest and weight of each piece, a sign before each paragraph or section but a text's first
         short = self.digests & np.uint64(0xFFFFFF)

@@ -148,6 +148,65 @@ def test_fingerprints_of_edits():
     assert merkle.fingerprint("a\nb") != merkle.fingerprint("a\n\nb") != merkle.fingerprint("ab")
 
 
+def plain_pieces(text):
+    """A text's pieces by plain steps over its bytes: at lines, marked blanks, marked characters of long runs, at 240 bytes."""
+    t, cuts, low = text.encode(), {0}, 0
+    for i in range(1, len(t)):
+        if t[i - 1] == 10:
+            cuts.add(i)
+        elif i >= 3 and t[i] not in b" \t" and t[i - 1] in b" \t" and merkle._MARKED[t[i - 3], t[i - 2]]:
+            cuts.add(i)
+    base = sorted(cuts)
+    for i in range(4, len(t)):
+        run = i - max([j for j in range(max(0, i - 25), i + 1) if t[j] in b" \t\n"] + [j - 1 for j in base if i - 25 <= j <= i] + [-1] * (i <= 25), default=i - 99)
+        b = [t[i - k] for k in (1, 2, 3, 4)]
+        if run > 24 and t[i] & 0xC0 != 0x80 and (b[0] * 0x9E3779B1 + b[1] * 0x85EBCA77 + b[2] * 0xC2B2AE3D + b[3] * 0x27D4EB2F) % 2**32 >> 26 < 2 and not b[0] == b[1] == b[2]:
+            cuts.add(i)
+    out = []
+    for a, z in zip(sorted(cuts), [*sorted(cuts)[1:], len(t)], strict=True):
+        steps = [a]
+        if z - a > 240:
+            for c in range(a + 237, z, 237):
+                while t[c] & 0xC0 == 0x80:
+                    c -= 1
+                steps.append(c)
+        out += [t[i:j] for i, j in zip(steps, [*steps[1:], z], strict=True) if j > i]
+    return out
+
+
+def plain_likeness(a, b):
+    from collections import Counter
+
+    if a == b:
+        return 1.0
+    x, y = Counter(plain_pieces(a)), Counter(plain_pieces(b))
+    weigh = lambda c: sum(n * (2 + 4 * min(len(p) // 4, 61)) for p, n in c.items())
+    return 2 * weigh(x & y) / max(weigh(x) + weigh(y), 1)
+
+
+def test_equal_fingerprints_are_of_equal_texts(texts, thue_morse):
+    every = [*dict.fromkeys(t or "" for t in texts.values()), *thue_morse, *[f"a {w}. b" for w in thue_morse]]
+    prints = [merkle.fingerprint(t) for t in every]
+    assert len({p.partition(":")[0] for p in prints}) == len(every)
+    assert all(merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) < 1 for a, b in zip(thue_morse[::2], thue_morse[1::2], strict=True))
+
+
+def test_likeness_equals_that_of_plain_pieces():
+    rng = random.Random(9)
+    words = lambda n, signs: " ".join("".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(n))
+    solid = "".join(rng.choice("中文字没有空白的长段") for _ in range(900))
+    samples = ["", "a", words(300, "abcdé. "), words(200, "ab"), solid, "a" * 3000, "ab" * 900, words(40, "xyz") + "\n\n" + solid[:300] + "\n" + words(50, "xyz.")]
+    for a in samples:
+        for b in samples:
+            e = merkle.edited(a, b)
+            assert b"".join(plain_pieces(e)) == e.encode()
+            found = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(e))
+            assert found == pytest.approx(plain_likeness(a, e), abs=1e-6)
+    # a run without blanks keeps what an edit leaves
+    assert merkle.likeness(merkle.fingerprint(solid), merkle.fingerprint(solid[:450] + words(1, "x") + solid[452:])) > 0.7
+    assert max(len(p) for t in samples for p in plain_pieces(t)) <= 240
+
+
 def brute_rows(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     out = []
