@@ -15,35 +15,44 @@ def tokens(text):
     return ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", low), "</s>"]
 
 
-def brute(rows, learned, discount=0.75, least=2):
-    """rows: (id, text, learned from?). The model with dictionaries, and each text walked token by token."""
-    seqs = [tokens(t) for _, t in rows]
-    c, b = Counter(), Counter()
+def model(seqs, learned, order=3, discount=0.75, least=2):
+    """(counts of n-grams, P(w | context), N) with dictionaries."""
+    c = Counter()
     for s, yes in zip(seqs, learned, strict=True):
         if yes:
-            c.update(s)
-            b.update(zip(s, s[1:], strict=False))
-    n, v = sum(c.values()) - c["<s>"], len([k for k in c if k != "<s>"])
-    kept = {k: m for k, m in b.items() if m >= least}
+            c.update(tuple(s[i : i + n]) for n in range(1, order + 1) for i in range(len(s) - n + 1))
+    words = {k: m for k, m in c.items() if len(k) == 1 and k != ("<s>",)}
+    n, v = sum(words.values()), len(words)
+    kept = {k: m for k, m in c.items() if len(k) > 1 and m >= least}
     mass = Counter()
-    for (u, _), m in kept.items():
-        mass[u] += m - discount
-    one = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    for k, m in kept.items():
+        mass[k[:-1]] += m - discount
+
+    def p(w, context):
+        if not context:
+            return (words.get((w,), 0) + 0.5) / (n + 0.5 * (v + 1))
+        below = p(w, context[1:])
+        if c[context] == 0 or (len(context) > 1 and context not in kept):
+            return below
+        return max(kept.get((*context, w), 0) - discount, 0) / c[context] + (1 - mass[context] / c[context]) * below
+
+    return words, p, n
+
+
+def brute(rows, learned, order=3):
+    """rows: (id, text, learned from?). Each text walked token by token."""
+    seqs = [tokens(t) for _, t in rows]
+    words, p, n = model(seqs, learned, order)
     out = []
     for s in seqs:
-        state, total = s[0], 0.0
-        for w in s[1:]:
-            rest = 1 - mass[state] / max(c[state], 1)
-            p = (kept[state, w] - discount) / c[state] + rest * one(w) if (state, w) in kept else rest * one(w)
-            total += math.log10(p)
-            state = w
-        out.append((len(s) - 1, sum(c[w] > 0 for w in s[1:]), n, sum(math.log10(one(w)) for w in s[1:]), total))
+        total = sum(math.log10(p(s[i], tuple(s[max(0, i - order + 1) : i]))) for i in range(1, len(s)))
+        out.append((len(s) - 1, sum((w,) in words for w in s[1:]), n, sum(math.log10(p(w, ())) for w in s[1:]), total))
     return out
 
 
-def same(found, expected):
+def same(found, expected, apart=1e-9):
     assert found[:3] == expected[:3]
-    assert found[3:] == pytest.approx(expected[3:], rel=1e-9, abs=1e-9)
+    assert found[3:] == pytest.approx(expected[3:], rel=1e-9, abs=apart)
 
 
 def test_query_equals_brute_force_and_beats_the_base(spark, sf_dir, texts):
@@ -52,7 +61,7 @@ def test_query_equals_brute_force_and_beats_the_base(spark, sf_dir, texts):
     for (d, t), e, yes in zip(texts.items(), brute(list(texts.items()), learned), learned, strict=True):
         r = rows[d]
         assert r["held_out"] == (not yes)
-        same((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]), e)
+        same((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]), e, 1e-6)
     held = [r for r in rows.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
@@ -69,22 +78,32 @@ def test_awkward_texts_in_small_chunks(awkward_docs, awkward):
 
 
 def test_states_sum_to_one():
-    rows = [(i, "a b a c a b b a d a b") for i in range(3)]
-    vocabulary = ["a", "b", "c", "d", "</s>"]
-    for context in ["<s>", "a", "b", "c"]:
-        probabilities = []
-        for w in vocabulary:
-            texts = [(0, "a b a c a b b a d a b")] * 3
-            seqs = [tokens(t) for _, t in texts]
-            c, b = Counter(x for s in seqs for x in s), Counter(x for s in seqs for x in zip(s, s[1:], strict=False))
-            n, v = sum(c.values()) - c["<s>"], len(c) - 1
-            mass = sum(m - 0.75 for (u, _), m in b.items() if u == context and m >= 2)
-            rest = 1 - mass / c[context]
-            kept = b[context, w] >= 2
-            probabilities.append((b[context, w] - 0.75) / c[context] * kept + rest * (c[w] + 0.5) / (n + 0.5 * (v + 1)))
-        unknown = rest * 0.5 / (n + 0.5 * (v + 1))
-        assert sum(probabilities) + unknown == pytest.approx(1)
-    assert rows
+    seqs = [tokens("a b a c a b b a d a b")] * 3
+    words, p, _ = model(seqs, [True] * 3)
+    for context in [(), ("<s>",), ("a",), ("b", "a"), ("<s>", "a"), ("d",), ("never",)]:
+        # one unknown word stands for all
+        assert sum(p(w, context) for (w,) in words) + p("unknown", context) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_other_orders(spark, order):
+    texts = ["a b a c a b b a d a b", "a b a c x", "b b b b b b", "a b a c a b y", "", "z"] * 2
+    rows = list(enumerate(texts))
+    learned = [i % 5 != 0 for i, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in lm.score(docs, F.col("doc_id") % 5 != 0, order=order, chunk_bytes=40).collect()}
+    for (i, _), e in zip(rows, brute(rows, learned, order), strict=True):
+        r = found[i]
+        same((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]), e)
+
+
+def test_long_words_that_differ_in_every_letter_are_told_apart(spark, thue_morse):
+    rows = [(i, f"{w} end") for i, w in enumerate(thue_morse)] * 2
+    found = lm.score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") % 2 == 0).collect()
+    learned = [i % 2 == 0 for i, _ in rows]
+    by_id = {i: e for (i, _), e in zip(rows, brute(rows, learned), strict=True)}
+    for r in found:
+        same((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]), by_id[r["doc_id"]])
 
 
 def test_nothing_to_learn_from_and_empty_tables(awkward_docs, empty_docs, clashing_docs, awkward):
