@@ -64,15 +64,15 @@ class Level:
         new = _first_of_runs(ordered)
         first = np.flatnonzero(new)
         self.names, self.at, self.place = ordered[first], at, at[order[first]]
-        self.number = np.empty(len(names), np.int64)
-        self.number[order] = np.cumsum(new) - 1
+        self.number = np.empty(len(names), np.int32)
+        self.number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.train = np.bincount(self.number, learn[at], len(first)).astype(np.uint32)
-        self.node = np.full(len(learn), -1)
+        self.node = np.full(len(learn), -1, np.int32)
         self.kept = self.own = self.counts = np.zeros(0, np.int64)
 
     def answered(self, kept: np.ndarray, counts: np.ndarray, own: np.ndarray) -> None:
         """kept: which names are; counts of the kept ones over all training texts; own: which of these this chunk reports to their contexts."""
-        index = np.where(kept, np.cumsum(kept) - 1, -1)
+        index = np.where(kept, np.cumsum(kept, dtype=np.int32) - np.int32(1), np.int32(-1))
         self.node[self.at] = index[self.number]
         self.kept, self.counts, self.own = np.flatnonzero(kept), counts, np.flatnonzero(own)
 
@@ -94,16 +94,16 @@ class Chunk:
         if parts:
             self.tokens[inner] = np.concatenate(parts)
         self.tokens[first[:-1]], self.tokens[first[1:] - 1] = START, END
-        self.offset = np.arange(len(self.tokens)) - np.repeat(first[:-1], self.sizes)
+        self.offset = (np.arange(len(self.tokens)) - np.repeat(first[:-1], self.sizes)).astype(np.int32)
         self.learn = np.repeat(np.array(train, bool), self.sizes)
         self.names = self.tokens.copy()
-        self.levels = {1: Level(self.tokens, np.arange(len(self.tokens)), self.learn)}
-        self.levels[1].node[:] = self.levels[1].number
+        self.levels = {1: Level(self.tokens, np.arange(len(self.tokens), dtype=np.int32), self.learn)}
+        self.levels[1].node = self.levels[1].number
 
     def grow(self, n: int) -> Level:
         """The n-grams that may be kept: both (n - 1)-grams in them are, and they lie within a text. `names` holds those of the longest n-gram that ends at a place."""
         held = self.levels[n - 1].node >= 0
-        at = np.flatnonzero(held[1:] & held[:-1] & (self.offset[1:] >= n - 1)) + 1
+        at = np.flatnonzero(held[1:] & held[:-1] & (self.offset[1:] >= n - 1)).astype(np.int32) + np.int32(1)
         fresh = _longer(self.names[at - 1], self.tokens[at])
         self.names[at] = fresh
         self.levels[n] = Level(fresh, at, self.learn)
@@ -153,7 +153,7 @@ class Automaton:
         """(base score, score, known tokens) of each text. Every place starts from its state, the longest kept suffix before
         it, and falls through failure arcs until it finds an arc for its token."""
         chunk = self.chunk
-        left = np.flatnonzero(chunk.offset > 0)
+        left = scored = np.flatnonzero(chunk.offset > 0)
         weight = np.zeros(len(chunk.tokens))
         word = chunk.levels[1].node
         for n in range(self.order, 1, -1):
@@ -167,10 +167,10 @@ class Automaton:
             here[here] = found
             left = left[~here]
         weight[left] += self.root[word[left]]
-        scored = np.flatnonzero(chunk.offset > 0)
         first = np.concatenate(([0], np.cumsum(chunk.sizes - 1)))
-        known = (chunk.levels[1].counts[word[scored]] > 0).astype(np.int64)
-        return vector.row_sums(self.root[word[scored]], first), vector.row_sums(weight[scored], first), vector.row_sums(known, first)
+        known = (chunk.levels[1].counts > 0).astype(np.int64)
+        word = word[scored]
+        return vector.row_sums(self.root[word], first), vector.row_sums(weight[scored], first), vector.row_sums(known[word], first)
 
 
 def _cuts(names: np.ndarray, n: int) -> list[tuple[int, int, int]]:
@@ -278,8 +278,10 @@ def score(docs: DataFrame, train, order: int = 3, min_count: int = 2, discount:
     prunes rare n-grams of two words and more, at every size alike; the root has all words.
     """
     n = frames.chunk_count(docs, text, chunk_bytes)
+    # one number for all that is dealt by chunk: then neither the texts nor an answer is sent twice
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(train, F.lit(False)).alias("_train"), F.col(text).alias("_body"))
-    chunks = frames.chunked(rows, n, ["_key", "_train"], "_body").groupBy("chunk")
+    chunks = frames.chunked(rows, n, ["_key", "_train"], "_body").repartition(parts, "chunk").groupBy("chunk")
 
     def ask(left: pa.Table, answers: pa.Table | None, known: int, levels: list[int]) -> pa.Table:
         if not left.num_rows:
@@ -300,21 +302,22 @@ def score(docs: DataFrame, train, order: int = 3, min_count: int = 2, discount:
 
     # round k asks about n-grams of k + 1 words; the first one about words, too
     first = chunks.applyInArrow(frames.tidy(lambda left: ask(left, None, 0, [1, 2][:order])), _MESSAGE)
-    asked, answers = [first], [first.groupBy("to").applyInArrow(frames.tidy(_answer(min_count)), _MESSAGE)]
-    every = answers[0]
+    asked = [first]
+    # dealt by chunk at once, so that each answer is made and sent once for all rounds that need it
+    every = first.groupBy("to").applyInArrow(frames.tidy(_answer(min_count)), _MESSAGE).repartition(parts, "to")
     for k in range(3, order + 1):
         asked.append(chunks.cogroup(every.groupBy("to")).applyInArrow(frames.tidy_pair(lambda left, right, k=k: ask(left, right, k - 1, [k])), _MESSAGE))
-        every = every.unionByName(asked[-1].groupBy("to").applyInArrow(frames.tidy(_answer(min_count)), _MESSAGE))
+        every = every.unionByName(asked[-1].groupBy("to").applyInArrow(frames.tidy(_answer(min_count)), _MESSAGE).repartition(parts, "to"))
     totals = first.groupBy("to").applyInArrow(_share, "total bigint, distinct bigint").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"))
     numbers = F.concat_ws(",", F.coalesce("total", F.lit(0)), F.coalesce("distinct", F.lit(0))).cast("binary")
     # N and V for every chunk, a row each
-    totals = totals.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("to"), F.lit(0).alias("sender"), F.lit(0).alias("level"), F.lit(1).alias("n"), numbers.alias("a"), F.lit(b"").alias("b"), F.lit(b"").alias("c"))
+    totals = totals.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("to"), F.lit(0).alias("sender"), F.lit(0).alias("level"), F.lit(1).alias("n"), numbers.alias("a"), F.lit(b"").alias("b"), F.lit(b"").alias("c")).repartition(parts, "to")
     final = every.unionByName(totals)
     if order > 1:
         reports = chunks.cogroup(every.groupBy("to")).applyInArrow(frames.tidy_pair(report), _MESSAGE)
         for j, asks in enumerate(asked[: max(1, order - 2)]):
             levels = [1, 2] if j == 0 else [j + 2]
-            final = final.unionByName(asks.groupBy("to").cogroup(reports.where(F.col("level").isin([k for k in levels if k < order])).groupBy("to")).applyInArrow(frames.tidy_pair(_summed(min_count)), _MESSAGE))
+            final = final.unionByName(asks.groupBy("to").cogroup(reports.where(F.col("level").isin([k for k in levels if k < order])).groupBy("to")).applyInArrow(frames.tidy_pair(_summed(min_count)), _MESSAGE).repartition(parts, "to"))
     ddl = f"`{key}` {docs.schema[key].dataType.simpleString()}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, vocabulary bigint, base_score double, score double"
     out_schema = frames.arrow_schema(ddl)
 
