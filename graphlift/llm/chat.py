@@ -7,12 +7,11 @@ comes before they differ is the turn's head, what comes after is its foot. A tem
 for n turns isn't a beginning of that for n + 1 rewrites history; that is reported, with the first
 place that changed, and its spans are found by probing each turn of the whole output.
 
-For long conversations all prefixes would cost the square of the turns. From `window` turns on, prefixes
-begin anew with the first turn and the last one as context; the spans so found must add up to the one
-rendering of the whole conversation, letter by letter, else all prefixes are rendered. Longer prefixes aren't rendered if they do, so rewrites between them aren't counted.
+All prefixes are rendered, whatever their number, so every rewrite between two of them is seen; n turns cost about
+3 n^2 / 2 renderings of a turn (400 turns of 600 characters: half a second). A conversation is formatted by one task and held in memory by it.
 
-A null text or role counts as empty. Equal turn numbers are ordered by role and text. Rows without conversation
-id form one conversation. Other columns are ignored. No rows give no rows.
+A null text or role counts as empty. Equal turn numbers are ordered by role and text, equal rows are turns of their own. Rows without conversation
+id form one conversation. Texts are taken whole, of any length. Other columns are ignored, whatever their names. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +35,8 @@ _NAMES = {v: k for k, v in _ROLES.items()}
 HEAD, FOOT = "### ", " </turn>\n"
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _PROBES = ("\u0001", "\u0002")
+#: Formatted conversations are sent on once they have so many characters together.
+BATCH_CHARS = 1 << 20
 
 
 def escape(text: str) -> str:
@@ -112,22 +113,17 @@ class Rendered:
     first_rewrite: int | None  # the first place that changed
 
 
-def _inside(template: Template, context: Sequence[Message], role: str) -> tuple[int, int] | None:
-    """Lengths of the head and foot that the template puts around the last turn's text."""
-    before = len(template(context))
+def _inside(template: Template, context: Sequence[Message], role: str, before: int) -> tuple[int, int] | None:
+    """Lengths of the head and foot that the template puts around the last turn's text; `before`: length of the context's output."""
     a, b = (template([*context, (role, p)]) for p in _PROBES)
     head = common_prefix(a, b)
     foot = common_prefix(a[head:][::-1], b[head:][::-1])
     return (head - before, foot) if head >= before and len(a) == len(b) else None
 
 
-def locate(template: Template, messages: Sequence[Message], window: int = 48) -> Rendered:
+def locate(template: Template, messages: Sequence[Message]) -> Rendered:
     """Renders the prefixes and compares each with the next one."""
     n = len(messages)
-    if n > window:
-        found = _windows(template, messages, window)
-        if found:
-            return found
     spans: list[Span] = []
     rewrites, first, last = 0, None, template([])
     for i in range(n):
@@ -137,7 +133,7 @@ def locate(template: Template, messages: Sequence[Message], window: int = 48) ->
             rewrites += 1
             first = same if first is None else min(first, same)
         elif not rewrites:
-            inside = _inside(template, messages[:i], messages[i][0])
+            inside = _inside(template, messages[:i], messages[i][0], len(last))
             if inside:
                 spans.append(Span(len(last), len(now), len(last) + inside[0], len(now) - inside[1]))
         last = now
@@ -146,29 +142,6 @@ def locate(template: Template, messages: Sequence[Message], window: int = 48) ->
     return Rendered(last, tuple(spans), rewrites, first)
 
 
-def _windows(template: Template, messages: Sequence[Message], window: int) -> Rendered | None:
-    """Spans from prefixes of a bounded number of turns; None unless they add up to the whole output."""
-    whole = template(messages)
-    spans: list[Span] = []
-    at = len(template([]))
-    for begin in range(0, len(messages), window):
-        context = [messages[0], messages[begin - 1]][: min(begin, 2)]
-        last = template(context)
-        for i in range(begin, min(begin + window, len(messages))):
-            inside = _inside(template, context, messages[i][0])
-            context = [*context, messages[i]]
-            now = template(context)
-            if inside is None or not now.startswith(last):
-                return None
-            added = now[len(last) :]
-            if not whole.startswith(added, at):
-                return None
-            spans.append(Span(at, at + len(added), at + inside[0], at + len(added) - inside[1]))
-            at += len(added)
-            last = now
-    return Rendered(whole, tuple(spans), 0, None) if at == len(whole) else None
-
-
 def _probed(template: Template, messages: Sequence[Message], whole: str) -> list[Span]:
     """For templates that rewrite history: each turn of the whole output is found by changing its text. A turn that
     the output doesn't show has an empty span at its end."""
@@ -188,7 +161,7 @@ def _conversation_rows(df: DataFrame) -> DataFrame:
     return df.select(F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def formatted(conversations: DataFrame, template: Template = render, decode: Callable[[str], str] = unescape, mask_role: str = "assistant", window: int = 48) -> DataFrame:
+def formatted(conversations: DataFrame, template: Template = render, decode: Callable[[str], str] = unescape, mask_role: str = "assistant") -> DataFrame:
     """conv_id, messages array<struct<role,text>>, formatted, spans array<struct<role,start,end,text_start,text_end>>, loss_text, rewrites, first_rewrite.
 
     The loss mask covers the texts of mask_role's turns; loss_text is what stands under it in the
@@ -200,7 +173,7 @@ def formatted(conversations: DataFrame, template: Template = render, decode: Cal
     schema = frames.arrow_schema(ddl)
 
     def one(conv, messages: list[Message]) -> tuple:
-        r = locate(template, messages, window)
+        r = locate(template, messages)
         loss = "".join([decode(r.text[s.text_start : s.text_end]) for (role, _), s in zip(messages, r.spans, strict=True) if role == mask_role])
         spans = [{"role": role, "start": s.start, "end": s.end, "text_start": s.text_start, "text_end": s.text_end} for (role, _), s in zip(messages, r.spans, strict=True)]
         return conv, [{"role": a, "text": b} for a, b in messages], r.text, spans, loss, r.rewrites, r.first_rewrite
@@ -209,15 +182,16 @@ def formatted(conversations: DataFrame, template: Template = render, decode: Cal
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
-        current, messages, begun, out = None, [], False, []
+        current, messages, begun, out, size = None, [], False, [], 0
         for b in batches:
             for conv, role, text in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if begun and conv != current:
                     out.append(one(current, messages))
+                    size += len(out[-1][2])
                     messages = []
-                    if len(out) == 1000:
+                    if size > BATCH_CHARS:
                         yield batch(out)
-                        out = []
+                        out, size = [], 0
                 current, begun = conv, True
                 messages.append((role, text))
         if begun:

@@ -104,11 +104,21 @@ def test_templates_that_rewrite_history_are_found():
     assert chat.locate(first_marked, turns).rewrites == 0
 
 
-@pytest.mark.parametrize("template", [chat.render, first_marked, thinking])
-def test_long_conversations_in_windows_equal_all_prefixes(template):
+@pytest.mark.parametrize("template", [chat.render, first_marked])
+def test_long_conversations_have_a_span_for_each_turn(template):
     rng = random.Random(4)
     turns = [(rng.choice(["user", "assistant"]), rng.choice(HOSTILE) + str(i)) for i in range(130)]
-    assert chat.locate(template, turns, window=16) == chat.locate(template, turns, window=10**6)
+    found = chat.locate(template, turns)
+    assert found.rewrites == 0 and len(found.spans) == 130
+    if template is chat.render:
+        assert [chat.unescape(found.text[s.text_start : s.text_end]) for s in found.spans] == [t for _, t in turns]
+
+
+@pytest.mark.parametrize("at", [3, 60, 119])
+def test_a_rewrite_of_one_long_prefix_is_counted(at):
+    template = lambda messages: ("!" if len(messages) == at else "") + chat.render(messages)
+    found = chat.locate(template, [("user", f"turn {i}") for i in range(120)])
+    assert found.rewrites == 2 and found.first_rewrite == 0 and found.text == chat.render([("user", f"turn {i}") for i in range(120)])
 
 
 def test_conversations_equal_sql(spark, sf_dir):
