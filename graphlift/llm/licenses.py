@@ -3,10 +3,10 @@
 Words are runs of bytes outside 0x00-0x2F, 0x3A-0x60 and 0x7B-0x7F after A-Z are lower-cased. The
 automaton runs over the words joined by single blanks, so a phrase is found whatever stands
 between its words. Where the words of an identifier tag are found, the expression after the tag
-is parsed from the text itself.
+is parsed from the text itself, in one pass; a word counts as an operand only if it is an identifier, so prose after a tag gives no labels.
 
 Null texts count as empty: no words, no labels, null places, score 0. Repeated rows stay; other columns
-are ignored. Texts are taken whole.
+are ignored, whatever their names. Texts are taken whole, in time in proportion to their length. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,9 +49,14 @@ TAG = "spdx license identifier"
 FAMILIES = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "apache": "apache", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "isc": "isc", "cc-by": "cc-by", "cc-by-sa": "cc-by-sa", "cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd", "cc0": "cc0"}
 
 _SEPARATORS = bytes(0x20 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-_TAG_TEXT = re.compile(rb"spdx[-\s]license[-\s]identifier\s*:?[ \t]*([^\r\n]*)", re.I)
+_TAG = re.compile(rb"spdx[-\s]license[-\s]identifier\s*:?", re.I)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_NEXT = re.compile(rb"[ \t]*(\(|\)|[A-Za-z0-9.+:-]+)")
 _RANK = {"or": 1, "and": 2, "with": 3}
+#: Identifiers without a number or a family, in lower case.
+PLAIN = {"zlib", "unlicense", "wtfpl", "0bsd", "postgresql", "x11", "ncsa", "curl", "ruby", "vim", "beerware", "libpng", "openssl", "json", "ntp", "ijg", "hpnd", "sleepycat", "noassertion", "none"}
+#: A name and a version after a hyphen, an exception's name, or a reference to a text of one's own.
+_FORM = re.compile(r"[a-z][a-z0-9.]*(-[a-z0-9.]+)*-v?\d[a-z0-9.]*(-[a-z0-9.]+)*\+?|[a-z0-9.+-]*-exception[a-z0-9.+-]*|(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
 
 
 class ExpressionError(ValueError):
@@ -94,27 +99,50 @@ def parse(expression: str) -> list[str]:
     return out + stack[::-1]
 
 
-def leading(text: str) -> str:
-    """The longest start of a line that is an expression, as text may follow it; empty if there is none."""
-    tokens = list(_TOKEN.finditer(text))
-    best, at = "", 0
-    for m in tokens:
-        if text[at : m.start()].strip():
-            break  # a sign that no expression has
-        at = m.end()
-        head = text[:at]
-        try:
-            parse(head)
-        except ExpressionError:
+def identifies(word: str) -> bool:
+    """Whether a word is a licence's or an exception's identifier: one of a family, a plain one, or one by its form."""
+    name = word.lower()
+    return name in PLAIN or bool(_fits(name)) or bool(_FORM.fullmatch(name))
+
+
+def leading(text: bytes | str, at: int = 0) -> str:
+    """The longest expression that the line begins with at `at`, as text may follow it; empty if there is none.
+
+    One pass of the parser's two states, operand or operator, that remembers the last place where the
+    expression was complete. It stops at the first word that isn't an identifier, a full stop, a line's end or any other sign.
+    """
+    if isinstance(text, str):
+        text = text.encode()
+    operand, depth, start, complete = True, 0, None, None
+    while m := _NEXT.match(text, at):
+        token, at = m[1].decode("ascii"), m.end()
+        start = m.start(1) if start is None else start
+        word, stopped = token, False
+        if token == "(":
+            if not operand:
+                break
+            depth += 1
             continue
-        if _TOKEN.findall(head)[-1].rstrip(".").lower() != _TOKEN.findall(head)[-1].lower():
-            best = head.rstrip(".")
-            break
-        best = head
-        following = text[at:].lstrip()
-        if not re.match(r"(and|or|with)\b|\)|$", following, re.I) and not head.count("(") > head.count(")"):
+        if token == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        elif token.lower() in _RANK:
+            if operand:
+                break
+            operand = True
+            continue
+        else:
+            word = token.rstrip(".:")
+            stopped = word != token
+            if not operand or not identifies(word):
+                break
+            operand = False
+        if not depth:
+            complete = at - (len(token) - len(word))
+        if stopped:
             break
-    return best.strip()
+    return "" if complete is None else text[start:complete].decode("ascii")
 
 
 @dataclass(frozen=True)
@@ -128,14 +156,18 @@ class Expression:
         return cls(tuple(parse(text)))
 
     def licences(self) -> list[str]:
-        stack: list[list[str]] = []
+        """Identifiers of licences, without those of exceptions."""
+        names: list[str] = []
+        first: list[int] = []  # of each part of the expression, its first name's place
         for t in self.postfix:
-            if t in _RANK:
-                b, a = stack.pop(), stack.pop()
-                stack.append(a if t == "with" else a + b)
+            if t not in _RANK:
+                first.append(len(names))
+                names.append(t)
             else:
-                stack.append([t])
-        return list(dict.fromkeys(stack[0]))
+                at = first.pop()
+                if t == "with":
+                    del names[at:]
+        return list(dict.fromkeys(names))
 
     def allowed(self, policy) -> bool:
         """policy(licence, exception or None) -> bool; OR needs one side, AND both."""
@@ -154,10 +186,15 @@ class Expression:
         return top if isinstance(top, bool) else policy(*top) if isinstance(top, tuple) else policy(top, None)
 
 
+def _fits(name: str) -> list[str]:
+    """Families of an identifier in lower case."""
+    return [f for f in FAMILIES if name == f or name.startswith(f + "-") or name == f + "+"]
+
+
 def family(identifier: str) -> str:
     """The label of a licence identifier: its family's where one fits, else its own in lower case."""
-    name = identifier.lower().removeprefix("licenseref-")
-    fits = [f for f in FAMILIES if name == f or name.startswith(f + "-") or name == f + "+"]
+    name = identifier.lower().rpartition(":")[2].removeprefix("licenseref-")
+    fits = _fits(name)
     return FAMILIES[max(fits, key=len)] if fits else re.sub(r"[^a-z0-9.+-]", "-", name)
 
 
@@ -212,8 +249,8 @@ def scan(text: bytes, automaton, policy=permissive) -> Scan:
             tagged = True
     expressions, allowed = [], None
     if tagged:
-        for m in _TAG_TEXT.finditer(text):
-            found = leading(m[1].decode("utf-8", "replace"))
+        for m in _TAG.finditer(text):
+            found = leading(text, m.end())
             if found:
                 expressions.append(found)
                 parsed = Expression.of(found)
