@@ -34,6 +34,12 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
+def without(columns: list[str], added: list[str]) -> list[str]:
+    """The columns but those that have the name of an added one: an operator's own column takes the place of such a column, as in withColumn()."""
+    names = {c.lower() for c in added}
+    return [c for c in columns if c.lower() not in names]
+
+
 def fold(column: str, n: int):
     """crc32 of a column as text, modulo n; null where the column is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
