@@ -4,10 +4,11 @@ A sentence (up to . ! ? or a line's end) has z = b + sum of its words' weights a
 The document's probability is the noisy-or 1 - prod(1 - p). Weights and b are fitted to document
 labels by gradient descent through the noisy-or, so that the sentences' own scores locate the offence.
 
-A word counts as itself and by its first 4 and 5 bytes, so that forms of one stem are learned together.
+A word counts as itself and by its first 4 and 5 characters, so that forms of one stem are learned together.
 
 Words: runs of a-z, 0-9 and non-ASCII bytes, A-Z lower-cased. Null or empty texts have no sentence
-and score 0. Repeated rows stay; other columns are ignored. Texts are taken whole.
+and score 0. Repeated rows stay; other columns are ignored, and one that has the name of an added column is replaced. Texts are taken whole,
+of any length. An empty table gives no rows, and no rows of both labels a model that scores nearly 0.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from . import frames, vector
 
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-#: Longer words also count by beginnings of so many bytes.
+#: Longer words also count by beginnings of so many characters.
 STEMS = (4, 5)
 _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F, 0x0A]] = True
@@ -37,11 +38,15 @@ class Bags:
         size = words.ends - words.starts
         # signs of each word: itself and its stems; 0 stands for none
         self.signs = [words.hashes()]
+        # first byte of each character, and of which number a word's first one is
+        opens = (words.bytes & 0xC0) != 0x80
+        places = np.flatnonzero(opens)
+        number = (np.cumsum(opens) - 1)[words.starts]
         for k in STEMS:
-            longer = size > k
+            end = places[np.minimum(number + k, len(places) - 1)] if len(places) else words.ends
+            longer = (number + k < len(places)) & (end < words.ends)
             stem = np.zeros(len(size), np.uint64)
-            at = words.starts[longer]
-            stem[longer] = vector.slice_hashes(words.bytes, at, at + k) ^ np.uint64(0xA5A5A5A500000000 + k)
+            stem[longer] = vector.slice_hashes(words.bytes, words.starts[longer], end[longer]) ^ np.uint64(0xA5A5A5A500000000 + k)
             self.signs.append(stem)
         self.starts, self.ends = words.starts, words.ends
         self.text_at = words.text_at
@@ -196,16 +201,18 @@ def descend(data: Sparse, words: np.ndarray, rounds: int = 300, rate: float = 0.
     return Model(words, theta[:-1], float(theta[-1]))
 
 
-#: Words of MIN_DOCS texts or more get a weight if their presence and the label depend on each other by a chi-square of
-#: MIN_CHI2 (20: 8 in a million words by chance) and their texts are labelled 1 MIN_LIFT times as often as all; else the many
-#: words that occur by chance in a few toxic texts would be learned by heart, and common words would be learned for nothing.
-MIN_DOCS, MIN_CHI2, MIN_LIFT = 4, 20.0, 2.0
+#: A word gets a weight if it is in texts labelled 1 more often than in others, by a log-likelihood ratio of MIN_G2 or more (20: 8 in a
+#: million words by chance); else the many words that occur by chance in a few toxic texts would be learned by heart.
+MIN_G2 = 20.0
 
 
-def _chi2(n_word, n_both, n_all, n_one):
-    """Chi-square of the table of word and label; works on arrays and on columns."""
+def _g2(n_word, n_both, n_all, n_one, log=np.log, largest=np.maximum):
+    """Signed log-likelihood ratio of the table of word and label, above 0 if the word goes with label 1; works on arrays and on columns."""
+    part = lambda x: x * log(largest(x, x * 0 + 1))
+    cells = part(n_both) + part(n_word - n_both) + part(n_one - n_both) + part(n_all - n_word - n_one + n_both)
+    sums = part(n_word) + part(n_all - n_word) + part(n_one) + part(n_all - n_one)
     apart = n_both * n_all - n_word * n_one
-    return apart * apart * n_all / (n_word * (n_all - n_word + 1e-9) * n_one * (n_all - n_one))
+    return 2 * (cells - sums + part(n_all)) * apart / largest(largest(apart, -apart), apart * 0 + 1)
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
@@ -215,14 +222,14 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     last = {(t, int(y)): i for i, (t, y) in enumerate(zip(texts, labels, strict=True))}
     texts, labels = [texts[i] for i in last.values()], labels[list(last.values())]
     words, n_word, n_both = word_counts(texts, labels)
-    keep = (n_word >= MIN_DOCS) & (n_both * len(texts) >= MIN_LIFT * n_word * labels.sum()) & (_chi2(n_word.astype(float), n_both, float(len(texts)), float(labels.sum())) >= MIN_CHI2)
+    keep = _g2(n_word.astype(float), n_both.astype(float), np.float64(len(texts)), np.float64(labels.sum())) >= MIN_G2
     return descend(Sparse.of(texts, labels, words[keep]), words[keep])
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = 16_000, most_words: int = 10_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = 16_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fits on the labelled rows where `train` holds: about sample_docs of them, chosen by a hash of the key (all, where there are fewer).
 
-    Words are counted and chosen by Spark (the most_words of the highest chi-square); only those words of the sampled texts
+    The sample is the one bound: words are counted and chosen by Spark over all of it, and the chosen words of the sampled texts
     come to the driver, some numbers for each text. A key with several labels counts as labelled 1 if one of them is; null labels don't count.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
@@ -246,8 +253,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int =
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n_word), pa.array(n_both)], ["word", "n", "pos"])
 
     counted = frames.map_arrow(picked, count, "word bigint, n bigint, pos bigint").groupBy("word").agg(F.sum("n").cast("double").alias("n"), F.sum("pos").cast("double").alias("pos"))
-    chosen = counted.where((F.col("n") >= MIN_DOCS) & (F.col("pos") * n_all >= F.col("n") * (MIN_LIFT * n_one))).withColumn("chi2", _chi2(F.col("n"), F.col("pos"), F.lit(float(n_all)), F.lit(float(n_one)))).where(F.col("chi2") >= MIN_CHI2)
-    words = np.sort(np.array([r["word"] for r in chosen.orderBy(F.desc("chi2"), "word").limit(most_words).collect()], np.int64).view(np.uint64))
+    ratio = _g2(F.col("n"), F.col("pos"), F.lit(float(n_all)), F.lit(float(n_one)), F.log, F.greatest)
+    words = np.sort(counted.where(ratio >= MIN_G2).select("word").toArrow().column(0).to_numpy().view(np.uint64))
 
     def reduce(batches):
         for batch in batches:
@@ -264,7 +271,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int =
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, score_name: str = "score", located: bool = True) -> DataFrame:
     """Adds the score and, if `located`, the worst sentence (its index, score, first and last byte) to the kept columns (all, by default)."""
-    kept = docs.columns if keep is None else keep
+    added = [score_name, *(["worst_sentence", "worst_score", "worst_from", "worst_to"] if located else [])]
+    kept = frames.without(docs.columns if keep is None else keep, added)
     hidden = frames.fresh("_text", docs)
     rows = docs.select(*kept, F.col(text).alias(hidden))
     schema = frames.with_fields(rows.drop(hidden), f"`{score_name}` double" + (", worst_sentence int, worst_score double, worst_from bigint, worst_to bigint" if located else ""))
