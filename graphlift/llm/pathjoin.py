@@ -9,11 +9,15 @@ under 1 - recall, even if all its buckets are split to the deepest level. Bucket
 
 Pairs so found only have to hold together what belongs together: the connected parts are then verified with
 exact sets, all pairs within a part, which gives exact links and classes. Pairs aren't written
-out: a bucket emits a spanning forest, a block its members' link counts.
+out: a bucket emits a spanning forest, a block its members' link counts. Blocks are cut by rows and by tokens, so that two of them fit in a task's memory
+whatever their sets' sizes; a single set must fit.
+
+Words and shingles are 64-bit hashes, sets are named by 128 bits; two different shingles of a part share a hash with a chance of one in 2^64 a pair.
 
 Words are runs of bytes outside 0x20 and 0x09-0x0D, A-Z lower-cased. A text of fewer words than a shingle has
 one shingle of all its words. Texts without a word (null, empty) are linked to nothing and are each
-a class of their own. Repeated rows are copies of each other. Other columns are ignored.
+a class of their own. Repeated rows are copies of each other. Texts are taken whole, of any length. Other columns are ignored, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ _MUL = vector.mix(np.arange(1, SIGNATURE + 1, dtype=U64) * U64(0x9E3779B97F4A7C1
 _XOR = vector.mix(np.arange(101, SIGNATURE + 101, dtype=U64) * U64(0x9E3779B97F4A7C15))
 #: Bits of the fixed-size map of nodes that need their exact sets: 4 MB, whatever the input.
 MAP_BITS = 1 << 25
+#: Columns of the bit rows that are compared at once.
+TILE = 1 << 17
 _MAP_PART = 1 << 15
 
 
@@ -113,7 +119,8 @@ def _leaves(nodes: DataFrame, runs: int, levels: int, limit: int) -> DataFrame:
     rows = nodes.select("node", F.explode(starts).alias("p")).select("node", "p.run", "p.path")
     out = []
     for level in range(levels):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("members")).where(F.col("members") > 1)
+        # written first: then both sides of the join are plain shuffles, of which AQE can split a hot path's
+        sizes = frames.written(rows.groupBy("path").agg(F.count("*").alias("members")).where(F.col("members") > 1))
         rows = frames.written(rows.join(sizes, "path"))
         out.append(rows.where(F.col("members") <= limit).select("path", "node"))
         rows = rows.where(F.col("members") > limit)
@@ -217,11 +224,11 @@ def _xxhash64(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data, seed=42)
 
 
-def _verify(members: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+def _verify(members: DataFrame, sets: DataFrame, threshold: float, block: int, block_tokens: int) -> DataFrame:
     """(node, links, other): exact links of each member with the rest of its part, counted with copies, and an edge of the forest of true pairs."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("members"))
+    sizes = frames.written(members.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("tokens_all")))
     rows = members.join(sizes, "root")
-    blocks = F.ceil(F.col("members") / block).cast("int")
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("tokens_all") / block_tokens)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit("verify")), blocks).cast("int")
     rows = rows.withColumn("own", own).join(sets, "node")
     rows = rows.select("node", "copies", "tokens", "root", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -250,7 +257,6 @@ def links_of(sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray | None,
     column = (np.cumsum(shared) - 1)[place]
     row = np.repeat(np.arange(m), sizes)
     keep = shared[place]
-    width = int(shared.sum()) // 64 + 1
     links = np.zeros(m, np.int64)
     parent = list(range(m))
 
@@ -260,10 +266,20 @@ def links_of(sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray | None,
             x = parent[x]
         return x
 
-    bits = np.zeros((m, width), U64)
-    at = row[keep] * width + column[keep] // 64
-    # a set has each token once, so adding bits sets them
-    np.add.at(bits.ravel(), at, U64(1) << (column[keep] % 64).astype(U64))
+    # in tiles of columns, so that memory goes with the rows alone
+    both = np.zeros((m, m), np.int32)
+    order = np.argsort(column[keep], kind="stable")
+    row_of, column_of = row[keep][order], column[keep][order]
+    for low in range(0, int(shared.sum()), TILE):
+        a, b = np.searchsorted(column_of, [low, low + TILE])
+        width = min(TILE, int(shared.sum()) - low) // 64 + 1
+        bits = np.zeros((m, width), U64)
+        at = column_of[a:b] - low
+        # a set has each token once, so adding bits sets them
+        np.add.at(bits.ravel(), row_of[a:b] * width + at // 64, U64(1) << (at % 64).astype(U64))
+        for i in range(m - 1):
+            rest = slice(i + 1, m) if own is None else np.flatnonzero(own[i + 1 :] != own[i]) + i + 1
+            both[i, rest] += np.bitwise_count(bits[rest] & bits[i]).sum(axis=1, dtype=np.int32)
     for i in range(m - 1):
         rest = np.arange(i + 1, m)
         ok = np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i]) - 1e-9
@@ -272,9 +288,9 @@ def links_of(sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray | None,
         rest = rest[ok]
         if not len(rest):
             continue
-        both = np.bitwise_count(bits[rest] & bits[i]).sum(axis=1, dtype=np.int64)
-        # both / (a + b - both) >= t, as integers would compare
-        hit = rest[both >= threshold * (sizes[rest] + sizes[i] - both) - 1e-9]
+        common = both[i, rest].astype(np.int64)
+        # common / (a + b - common) >= t, as integers would compare
+        hit = rest[common >= threshold * (sizes[rest] + sizes[i] - common) - 1e-9]
         if len(hit):
             links[i] += copies[hit].sum()
             links[hit] += copies[i]
@@ -287,15 +303,15 @@ def links_of(sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray | None,
     return links, [root(i) for i in range(m)]
 
 
-def join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.9999, limit: int = 512, levels: int = 4, block: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.9999, limit: int = 512, levels: int = 4, block: int = 1024, block_tokens: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, class_id (the least key of its connected class), n_links (other rows at
     `threshold` or more), n_copies (rows with the same shingles, itself among them), n_shingles."""
     profiles = frames.written(_profiles(docs, key, text, words))
     nodes = frames.written(profiles.where(F.col("size") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("signature").alias("signature"), F.count("*").alias("copies"), F.min(key).alias("least")))
     leaves = _leaves(nodes, runs_for(recall, threshold, levels), levels, limit)
     parts = components(_candidates(nodes, leaves, threshold))
-    members = frames.written(parts.join(nodes.select("node", "copies"), "node"))
-    verified = frames.written(_verify(members, _sets(docs, profiles, members, key, text, words), threshold, block))
+    members = frames.written(parts.join(nodes.select("node", "copies", "size"), "node"))
+    verified = frames.written(_verify(members, _sets(docs, profiles, members, key, text, words), threshold, block, block_tokens))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(verified.select(F.col("node").alias("a"), F.col("other").alias("b")))
     known = nodes.select("node", "copies", "least").join(links, "node", "left").join(classes, "node", "left")
@@ -316,3 +332,20 @@ def join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join(frames.read(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, compared exactly; classes by following links.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w WHERE len(w) > 0
+), s AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS name FROM g GROUP BY 1
+), c AS (SELECT name, count(*) AS copies FROM s GROUP BY 1
+), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (SELECT p.a, p.b FROM pairs p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE p.n >= 0.8 * (x.n + y.n - p.n) - 1e-9
+), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT w.doc_id, least(w.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = w.doc_id), w.doc_id)) AS class_id, (SELECT count(*) FROM e WHERE e.a = w.doc_id)::BIGINT AS n_links,
+  coalesce(c.copies, 1)::BIGINT AS n_copies, coalesce(s.n, 0)::BIGINT AS n_shingles
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN c USING (name)
+"""
