@@ -119,8 +119,8 @@ def _leaves(nodes: DataFrame, runs: int, levels: int, limit: int) -> DataFrame:
     rows = nodes.select("node", F.explode(starts).alias("p")).select("node", "p.run", "p.path")
     out = []
     for level in range(levels):
-        # written first: then both sides of the join are plain shuffles, of which AQE can split a hot path's
-        sizes = frames.written(rows.groupBy("path").agg(F.count("*").alias("members")).where(F.col("members") > 1))
+        # dealt again: then both sides of the join are plain shuffles, of which AQE can split a hot path's
+        sizes = rows.groupBy("path").agg(F.count("*").alias("members")).where(F.col("members") > 1).repartition("path")
         rows = frames.written(rows.join(sizes, "path"))
         out.append(rows.where(F.col("members") <= limit).select("path", "node"))
         rows = rows.where(F.col("members") > limit)
@@ -226,7 +226,7 @@ def _xxhash64(data: bytes) -> int:
 
 def _verify(members: DataFrame, sets: DataFrame, threshold: float, block: int, block_tokens: int) -> DataFrame:
     """(node, links, other): exact links of each member with the rest of its part, counted with copies, and an edge of the forest of true pairs."""
-    sizes = frames.written(members.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("tokens_all")))
+    sizes = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("tokens_all")).repartition("root")
     rows = members.join(sizes, "root")
     blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("tokens_all") / block_tokens)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit("verify")), blocks).cast("int")
@@ -303,7 +303,7 @@ def links_of(sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray | None,
     return links, [root(i) for i in range(m)]
 
 
-def join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.9999, limit: int = 512, levels: int = 4, block: int = 1024, block_tokens: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.9999, limit: int = 4096, levels: int = 4, block: int = 1024, block_tokens: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, class_id (the least key of its connected class), n_links (other rows at
     `threshold` or more), n_copies (rows with the same shingles, itself among them), n_shingles."""
     profiles = frames.written(_profiles(docs, key, text, words))
