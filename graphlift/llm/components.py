@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import frames
 
 
+#: Edges of a file.
+EDGES = 250_000
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Links the neighbours of each node to the least one: the larger neighbours (large star), or the smaller ones and the node (small star)."""
     if large:
@@ -26,14 +30,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(a, b) of any ordered type to (node, root): each node of an edge and the least node of its component.
 
-    Ends when a round changes nothing; each round's edges are written to the shared folder.
+    Ends when a round changes nothing; each round's edges are written to the shared folder. Rounds grow with the logarithm of the nodes; after
+    most_rounds it is an error. Loops, repeated edges and both directions of one are fine, no edges give no rows; edges with a null end are ignored.
     """
     now = frames.written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = None
+    sign = files = None
     for _ in range(most_rounds):
-        now = frames.written(_stars(_stars(now, True), False))
+        now = frames.written(_stars(_stars(now, True), False), files)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(after) == sign:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        sign = tuple(after)
+        sign, files = tuple(after), max(1, -(-after[0] // EDGES))
     raise RuntimeError("components didn't settle")

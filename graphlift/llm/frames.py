@@ -49,16 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share (spark.checkpoint.dir); a local one of our own only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it again, so that later jobs neither repeat its work nor need the executors that did it."""
+def written(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Writes df to the shared folder as Parquet, in so many files at most, and reads it again: later jobs neither repeat its work nor need
+    the executors that did it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
