@@ -27,9 +27,9 @@ def _id(kind: int, key: str) -> F.Column:
 
 
 def _rank(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Alphabetical rank of each value of a column of few values."""
-    values = rows.select(column).distinct()
-    return rows.join(F.broadcast(values.select(column, F.dense_rank().over(Window.orderBy(column)).alias(name)).limit(10_000)), column)
+    """Alphabetical rank of each value of a column; null where the column is null. One task orders the different values."""
+    values = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    return rows.join(values.select(column, F.dense_rank().over(Window.orderBy(column)).alias(name)), column, "left")
 
 
 def commerce(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -84,7 +84,7 @@ def activity(spark: SparkSession, sf_dir: str, until: float = 1.0) -> PropertyGr
         low, high = events.agg(F.min(micros), F.max(micros)).first()
         events = events.where(micros <= int(low + (high - low) * until))
     labels = lambda x: F.array(F.lit(x)).cast("array<int>").alias("labels")
-    ranked = _rank(events, "event_type", "rank")
+    ranked = _rank(events, "event_type", "rank").where(F.col("rank").isNotNull())
     type_id = F.col("rank").cast("bigint") + EVENT_TYPE_BASE
     vertices = events.select(F.col("user_id").alias("id"), labels(USER)).unionByName(ranked.select(type_id.alias("id"), labels(EVENT_TYPE)))
     edges = ranked.select(F.col("user_id").alias("src"), type_id.alias("dst"), labels(40)).unionByName(followed(events).select("src", "dst", labels(50)))

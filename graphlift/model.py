@@ -179,6 +179,17 @@ class PropertyGraph:
         return self.vertices.count(), self.edges.count()
 
 
+def drawn(*columns, seed: int = 0) -> F.Column:
+    """A hash of integer columns below 2**31 - 1, in plain integer arithmetic that any SQL engine can repeat: squares modulo a prime."""
+    h = F.lit(seed).cast("bigint")
+    for c in columns:
+        c = F.col(c) if isinstance(c, str) else c
+        a = F.pmod(h * 31 + F.pmod(c.cast("bigint"), F.lit(2_147_483_629)), F.lit(2_147_483_647))
+        b = F.pmod(a * 48_271 + 12_345, F.lit(2_147_483_647))
+        h = F.pmod(b * b + a, F.lit(2_147_483_647))
+    return h
+
+
 def clean(labels) -> F.Column:
     """A label set: each once, ascending, without the wildcard."""
     col = F.col(labels) if isinstance(labels, str) else labels
@@ -193,8 +204,8 @@ def merge_labels(rows: DataFrame, key: list[str]) -> DataFrame:
 def random_graph(spark: SparkSession, size: int, n_labels: int = 50, most_labels: int = 5, seed: int = 0) -> PropertyGraph:
     """size / 2 vertices and as many edges; a vertex has 1 to most_labels labels below n_labels, an edge one."""
     n = size // 2
-    draw = lambda salt, limit: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(limit)).cast("int")
-    labels = F.transform(F.sequence(F.lit(1), 1 + draw("count", most_labels)), lambda i: F.pmod(F.xxhash64("id", F.lit(seed), i), F.lit(n_labels)).cast("int"))
+    draw = lambda salt, limit: F.pmod(drawn("id", F.lit(salt), seed=seed), F.lit(limit)).cast("int")
+    labels = F.transform(F.sequence(F.lit(1), 1 + draw(0, most_labels)), lambda i: F.pmod(drawn("id", i + 10, seed=seed), F.lit(n_labels)).cast("int"))
     vertices = spark.range(n).select("id", labels.alias("labels"))
-    edges = spark.range(n).select(draw("src", n).cast("bigint").alias("src"), draw("dst", n).cast("bigint").alias("dst"), F.array(draw("edge", n_labels)).alias("labels"))
+    edges = spark.range(n).select(draw(1, n).cast("bigint").alias("src"), draw(2, n).cast("bigint").alias("dst"), F.array(draw(3, n_labels)).alias("labels"))
     return PropertyGraph.of(vertices, edges)

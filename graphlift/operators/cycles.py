@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import WILDCARD, PropertyGraph
+from ..model import WILDCARD, PropertyGraph, drawn
+from .store import written
 
 MIN_SUPPORT = 25
 
@@ -16,12 +17,13 @@ def both_ways(graph: PropertyGraph) -> DataFrame:
     return edges.select(F.col("src").alias("n1"), F.col("dst").alias("n2"), F.lit("F").alias("sign")).unionByName(edges.select(F.col("dst").alias("n1"), F.col("src").alias("n2"), F.lit("B").alias("sign")))
 
 
-def walk_counts(graph: PropertyGraph, max_edges: int, most_starts: int | None = None, seed: int = 0) -> DataFrame:
+def walk_counts(graph: PropertyGraph, max_edges: int, most_starts: int | None = None, seed: int = 0, most_walks: int | None = None) -> DataFrame:
     """(path, n1, n2, w, closed): numbers of walks by their signs and ends, and whether the edge n1 -> n2 exists.
 
     Walks of k edges extend those of k - 1, summed by their ends, so hubs don't multiply rows. Of one-edge walks only those
     against an edge count, as one along an edge is closed by itself. most_starts samples start
-    vertices (by a hash, all alike); counts are then scaled up by their share.
+    vertices (by a hash, all alike); counts are then scaled up by their share. most_walks bounds the rows after each step: of more, a share is
+    drawn by a hash and its counts are scaled up, so sums stay right on the average and no step holds all pairs of vertices.
     """
     steps = both_ways(graph)
     starts = steps
@@ -29,19 +31,24 @@ def walk_counts(graph: PropertyGraph, max_edges: int, most_starts: int | None =
     if most_starts and most_starts > 0:
         n = graph.vertices.count()
         if n > most_starts:
-            starts = steps.where(F.pmod(F.xxhash64("n1", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * most_starts / n))
+            starts = steps.where(drawn("n1", seed=seed) < int(2_147_483_647 * most_starts / n))
             scale = F.lit(n / most_starts)
     walks = starts.select("n1", "n2", F.col("sign").alias("path"), scale.alias("w"))
     out = walks.where(F.col("path") == "B")
     nexts = steps.select(F.col("n1").alias("n2"), F.col("n2").alias("n3"), "sign")
-    for _ in range(2, max_edges + 1):
+    for k in range(2, max_edges + 1):
         walks = walks.join(nexts, "n2").groupBy("n1", F.col("n3").alias("n2"), F.concat("path", "sign").alias("path")).agg(F.sum("w").alias("w"))
+        if most_walks and most_walks > 0:
+            walks = written(walks)
+            n = walks.count()
+            if n > most_walks:
+                walks = walks.where(drawn("n1", "n2", F.crc32(F.col("path").cast("binary")), seed=seed + k) < int(2_147_483_647 * most_walks / n)).withColumn("w", F.col("w") * (n / most_walks))
         out = out.unionByName(walks)
     closing = graph.edges.select(F.col("src").alias("n1"), F.col("dst").alias("n2"), F.lit(True).alias("closed"))
     return out.join(closing, ["n1", "n2"], "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
 
 
-def cycle_probabilities(graph: PropertyGraph, cells: DataFrame, max_cycle: int, min_support: float = MIN_SUPPORT, most_starts: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def cycle_probabilities(graph: PropertyGraph, cells: DataFrame, max_cycle: int, min_support: float = MIN_SUPPORT, most_starts: int | None = None, seed: int = 0, most_walks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(cycle_prob(path, c1, c2, prob), cycle_len_prob(len, prob)).
 
     (path, wildcard, wildcard) rows hold for any cells. Rows of less than min_support walks are left
@@ -50,16 +57,16 @@ def cycle_probabilities(graph: PropertyGraph, cells: DataFrame, max_cycle: int,
     spark = graph.edges.sparkSession
     if max_cycle < 2:
         return spark.createDataFrame([], "path string, c1 int, c2 int, prob double"), spark.createDataFrame([], "len int, prob double")
-    totals = cycle_totals(graph, cells, max_cycle, most_starts, seed)
+    totals = written(cycle_totals(graph, cells, max_cycle, most_starts, seed, most_walks))  # read by both tables
     by_path = totals.where((F.col("level") < 3) & (F.col("total") >= min_support))
     by_len = totals.where(F.col("level") == 3)
     prob = F.col("closed") / F.col("total")
     return by_path.select("path", F.coalesce("c1", F.lit(WILDCARD)).alias("c1"), F.coalesce("c2", F.lit(WILDCARD)).alias("c2"), prob.alias("prob")), by_len.select("len", prob.alias("prob"))
 
 
-def cycle_totals(graph: PropertyGraph, cells: DataFrame, max_cycle: int, most_starts: int | None = None, seed: int = 0) -> DataFrame:
+def cycle_totals(graph: PropertyGraph, cells: DataFrame, max_cycle: int, most_starts: int | None = None, seed: int = 0, most_walks: int | None = None) -> DataFrame:
     """(path, len, c1, c2, level, total, closed) by (path, c1, c2), level 1, by path, 2, and by length, 3: one aggregation with grouping sets."""
-    walks = walk_counts(graph, max_cycle - 1, most_starts, seed)
+    walks = walk_counts(graph, max_cycle - 1, most_starts, seed, most_walks)
     tint = lambda end, name: cells.select(F.col("id").alias(end), F.col("cell").alias(name))
     rows = walks.join(tint("n1", "c1"), "n1").join(tint("n2", "c2"), "n2")
     # sums by cells first: the three roll-ups then read a table of cells

@@ -53,7 +53,7 @@ def _seed(summary: CellSummary, pattern: Pattern, v: int, kind: Kind) -> DataFra
     if vertex.ids is not None:
         rows = rows.join(_with_ids(summary, vertex.ids), "cell")
         # averages: the ids are what is left of the cell; an upper bound can't have more than either; no lower bound on a label
-        count = {"min": F.when(F.col("found") >= F.col("cnt"), count).otherwise(F.lit(0.0)), "max": F.least(count, F.col("found").cast("double"))}.get(kind.name, F.least(count, F.col("found").cast("double")))
+        count = F.when(F.col("found") >= F.col("cnt"), count).otherwise(F.lit(0.0)) if kind.name == "min" else F.least(count, F.col("found").cast("double"))
     state = kind.seed(count)
     return rows.select(F.col("cell").alias(_c(v)), *[x.alias(n) for n, x in state.items()])
 
@@ -110,8 +110,6 @@ def _closed(summary: CellSummary, pattern: Pattern, rows: DataFrame, e: PatternE
     # edges that were added since the build aren't in the statistics
     if summary.added_edges:
         absent = absent * (1 - summary.added_edges / max(1, summary.n_vertices) ** 2)
-    if e.src == e.dst and kind.name != "min":
-        pass  # a loop is an edge within the cell, as likely as any other
     joined = _scaled(joined, kind, 1 - absent)
     return joined.select(*rows.columns)
 

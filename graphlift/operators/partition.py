@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
@@ -238,15 +238,13 @@ def by_label_ratio(graph: PropertyGraph, k: int) -> DataFrame:
 def by_ratio(graph: PropertyGraph, k: int) -> DataFrame:
     """Vertices ordered by in-degree over out-degree (none: last) in k chunks; equal ratios stay together, in the chunk of the last of them."""
     rows = graph.degrees().select("id", F.coalesce(F.try_divide("d_in", "d_out"), F.lit(float("inf"))).alias("ratio"))
-    total, cell, at, n = [], {}, 0, 0
-    for r in sorted(_bounded(rows.groupBy("ratio").count(), "different ratios")):
-        total.append((r[0], r[1]))
-        n += r[1]
-    size = max(1, math.ceil(n / k))
-    for ratio, m in total:
-        at += m
-        cell[ratio] = math.ceil(at / size)
-    table = rows.sparkSession.createDataFrame(list(cell.items()) or [(0.0, 1)], "ratio double, cell int")
+    # running sums over the ratios: within ranges of them, and over the ranges
+    counts = written(rows.groupBy("ratio").count().repartitionByRange("ratio").withColumn("part", F.spark_partition_id()))
+    parts = counts.groupBy("part").agg(F.sum("count").alias("own"))
+    before = F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    parts = parts.select("part", before.alias("before"), F.sum("own").over(Window.partitionBy()).alias("n"))
+    at = F.col("before") + F.sum("count").over(Window.partitionBy("part").orderBy("ratio"))
+    table = counts.join(parts, "part").select("ratio", F.ceil(at / F.greatest(F.lit(1), F.ceil(F.col("n") / k))).cast("int").alias("cell"))
     return rows.join(table, "ratio").select("id", "cell")
 
 

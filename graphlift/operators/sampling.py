@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import drawn
 from .exact import WEIGHT
+from .store import written
 
 STRATEGIES = ("uniform", "weighted", "redistributive")
 
@@ -20,29 +22,30 @@ def sample_paths(rows: DataFrame, cap: int | None, strategy: str = "redistributi
 
     uniform: any, scaled by how many there were for each kept. weighted: without replacement, by weight (exponential keys), each
     then standing for an equal share of the whole weight. redistributive: the same draw, weights kept and scaled so
-    that their sum is the whole. The top `cap` are found by partial sorts; totals are one aggregation.
+    that their sum is the whole. The top `cap` are found by partial sorts; totals are one aggregation. The rows are written once, so
+    that a plan of many steps grows with their number alone. No more rows than `cap` stay as they are.
     """
     if strategy not in STRATEGIES:
         raise ValueError(strategy)
     if not limited(cap):
         return rows
-    live = rows.where(F.col(WEIGHT) > 0)
+    live = written(rows.where(F.col(WEIGHT) > 0))
     names = [c for c in rows.columns if c not in state]
-    u = (F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    u = (drawn(*names, seed=seed) + 1) / 2_147_483_648.0
     key = u if strategy == "uniform" else -F.log(u) / F.col(WEIGHT)
-    totals = live.agg(F.sum(F.col(WEIGHT).cast("double")).alias("_all"), F.count("*").alias("_n"))
+    n, whole = live.agg(F.count("*"), F.sum(F.col(WEIGHT).cast("double"))).first()
+    if n <= cap:
+        return live
     kept = live.orderBy(key, *names).limit(cap)
-    sums = kept.agg(F.sum(F.col(WEIGHT).cast("double")).alias("_sum"), F.count("*").alias("_m"))
-    one = F.broadcast(totals.crossJoin(F.broadcast(sums)))  # one row
-    kept = kept.crossJoin(one)
     if strategy == "uniform":
-        by = F.col("_n") / F.col("_m")
+        by = F.lit(n / cap)
     elif strategy == "weighted":
-        by = F.col("_all") / F.col("_m") / F.col(WEIGHT)
+        by = F.lit(whole / cap) / F.col(WEIGHT)
     else:
-        by = F.col("_all") / F.col("_sum")
+        kept = kept.crossJoin(F.broadcast(kept.agg(F.sum(F.col(WEIGHT).cast("double")).alias("_sum"))))  # one row
+        by = F.lit(whole) / F.col("_sum")
     scaled = {WEIGHT: F.col(WEIGHT) * by} | ({"var": F.col("var") * by * by} if "var" in state else {})
-    return kept.withColumns(scaled).drop("_all", "_n", "_sum", "_m")
+    return kept.withColumns(scaled).drop("_sum")
 
 
 def sample_matches(rows: DataFrame, cap: int | None, seed: int = 0) -> DataFrame:
@@ -63,9 +66,10 @@ def random_walk(graph, pattern, seed: int = 0, cap: int | None = None) -> DataFr
         rows = sample_matches(rows, cap, seed + step)
         if step < 2:  # the first edges are the starts of the walks
             return rows
-        before = Window.partitionBy(*names[:-1])
-        rank = F.row_number().over(before.orderBy(F.xxhash64(*names, F.lit(seed + step)), names[-1]))
-        return rows.withColumn("_rank", rank).withColumn("_all", F.sum(WEIGHT).over(before)).where("_rank = 1").withColumn(WEIGHT, F.col("_all")).drop("_rank", "_all")
+        # the least draw of each partial match's extensions, by partial aggregation: a hub's are never in one place
+        best = F.min(F.struct(drawn(*names, seed=seed + step).alias("_draw"), F.col(names[-1]).alias("_to"))).alias("_best")
+        kept = rows.groupBy(*names[:-1]).agg(best, F.sum(WEIGHT).alias(WEIGHT))
+        return kept.select(*names[:-1], F.col("_best._to").alias(names[-1]), WEIGHT)
 
     rows = matches(graph, pattern, partial_sums=False, cap=thin)
     return rows.agg(F.coalesce(F.sum(WEIGHT), F.lit(0)).cast("bigint").alias("cnt"))

@@ -15,7 +15,9 @@ from ..model import EDGE_SCHEMA, VERTEX_SCHEMA, PropertyGraph
 def new_path(spark) -> str:
     """A fresh path in the shared folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:  # only where the cluster names none, as in tests
+    if not folder:  # only in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"

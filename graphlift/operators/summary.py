@@ -24,6 +24,7 @@ class SummaryParams:
     max_cycle: int = 4
     most_starts: int | None = None
     seed: int = 0
+    most_walks: int | None = None
 
     def name(self) -> str:
         """A file name that tells the parameters."""
@@ -73,6 +74,17 @@ class CellSummary:
         """Rows of each table."""
         return {t: getattr(self, t).count() for t in self.TABLES}
 
+    def footprint_bytes(self) -> dict[str, int]:
+        """Bytes of each table's values: 8 for a number of 64 bits, 4 for one of 32, a text's own."""
+        out = {}
+        for t in self.TABLES:
+            df = getattr(self, t)
+            fixed = sum({"bigint": 8, "double": 8, "int": 4}.get(kind, 0) for _, kind in df.dtypes)
+            texts = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]
+            row = df.agg(F.count("*"), *texts).first()
+            out[t] = row[0] * fixed + sum(x or 0 for x in row[1:])
+        return out
+
 
 def summarize(graph: PropertyGraph, params: SummaryParams | None = None, cells: DataFrame | None = None) -> CellSummary:
     """Builds the summary, phase by phase; `cells` replaces the partition. Each table is stored once built, and timed."""
@@ -86,7 +98,7 @@ def summarize(graph: PropertyGraph, params: SummaryParams | None = None, cells:
         return out
 
     cells = timed("partition", lambda: written(cells.select("id", F.col("cell").cast("int").alias("cell"))) if cells is not None else cell_graph(graph, [Stage(*s) for s in params.stages]))
-    paths, lengths = timed("cycles", lambda: tuple(map(written, cycle_probabilities(graph, cells, params.max_cycle, most_starts=params.most_starts, seed=params.seed))))
+    paths, lengths = timed("cycles", lambda: tuple(map(written, cycle_probabilities(graph, cells, params.max_cycle, most_starts=params.most_starts, seed=params.seed, most_walks=params.most_walks))))
     card = timed("cardinalities", lambda: written(cell_card(graph, cells)))
     degrees = timed("edge_stats", lambda: written(edge_deg(graph, cells, corr=params.kind == "corr")))
     n, m = timed("totals", graph.totals)
@@ -96,8 +108,8 @@ def summarize(graph: PropertyGraph, params: SummaryParams | None = None, cells:
 def build_report(summary: CellSummary, dataset: str, params: SummaryParams) -> DataFrame:
     """Rows (Dataset, Partitioner, NumColors, BuildPhase, BuildTime, MemoryFootprint) of a build, for a CSV sink."""
     spark = summary.cell_card.sparkSession
-    rows = sum(summary.footprint().values())
+    size = sum(summary.footprint_bytes().values())
     name = "".join(f"{SHORT[m]}{k}" for m, k in params.stages)
-    return spark.createDataFrame([(dataset, name, summary.n_cells, phase, float(t), float(rows)) for phase, t in summary.timings.items()], "Dataset string, Partitioner string, NumColors bigint, BuildPhase string, BuildTime double, MemoryFootprint double")
+    return spark.createDataFrame([(dataset, name, summary.n_cells, phase, float(t), float(size)) for phase, t in summary.timings.items()], "Dataset string, Partitioner string, NumColors bigint, BuildPhase string, BuildTime double, MemoryFootprint double")
 
 

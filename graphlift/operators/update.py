@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import WILDCARD, clean
+from ..model import WILDCARD, clean, drawn
 from .stats import with_wildcard
 from .store import written
 from .summary import CellSummary
@@ -88,5 +88,5 @@ def add_edges(summary: CellSummary, edges: DataFrame) -> CellSummary:
 
 def hold_out(graph, share: float, seed: int = 0):
     """(kept edges, held-out edges): a split by a hash of the pair, for update experiments."""
-    draw = F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    draw = drawn("src", "dst", seed=seed) / 2_147_483_647.0
     return graph.edges.where(draw >= share), graph.edges.where(draw < share)

@@ -55,6 +55,16 @@ def _text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file anywhere that Spark can write."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def read_pattern(spark: SparkSession, path: str, dialect: str = GCARE) -> Pattern:
     return parse_pattern(_text(spark, path).splitlines(), dialect)
 

@@ -153,3 +153,27 @@ def test_empty_graphs(spark):
     assert exact.exact_count(g, Pattern.of(1, [])) == 3
     s = summarize(g, SummaryParams((("hash", 2),), "avg", 3))
     assert estimate(s, Pattern.of(2, [(0, 1)])) == 0
+
+
+def test_plans_of_samples_grow_with_the_steps_alone(spark, sf_dir):
+    """A path of twelve edges is sampled in some seconds, and its last plan is no longer than that of four edges."""
+    import time
+
+    g = fixtures.graph(spark, sf_dir, "activity")
+    lines = []
+    for n in (4, 12):
+        begun = time.time()
+        found = sampling.sampled_count(g, Pattern.of(n + 1, [(i, i + 1, 50) for i in range(n)]), 50, seed=1)
+        lines.append(len(found._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        assert found.first()[0] > 0 and time.time() - begun < 60
+    assert lines[1] <= lines[0] + 5
+
+
+def test_walks_within_a_bound_keep_their_sums(spark, sf_dir):
+    from graphlift.operators import cycles
+
+    g = fixtures.graph(spark, sf_dir, "activity")
+    total = lambda df: {r["k"]: r["w"] for r in df.groupBy(F.length("path").alias("k")).agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()}
+    whole, bounded = total(cycles.walk_counts(g, 3)), total(cycles.walk_counts(g, 3, most_walks=2000))
+    assert all(bounded[k] == pytest.approx(whole[k], rel=0.25) for k in whole)
+    assert cycles.walk_counts(g, 3, most_walks=2000).where("length(path) = 3").count() < 2600

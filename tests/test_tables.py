@@ -157,3 +157,36 @@ def test_metrics(spark):
     assert rows(metrics.verified(again, spark.createDataFrame([(1, 5), (2, 7)], "query int, truth bigint")), "query", "same") == [(1, True), (2, False)]
     assert metrics.query_type("a/Star_6/q1.txt") == "Star"
     assert rows(metrics.width_distribution(spark, {"a": Pattern.of(2, [(0, 1)])}), "width", "n") == [(1, 1)]
+
+
+def test_a_restarted_stream_goes_on_from_its_last_state(spark, sf_dir, tmp_path):
+    """Two batches, a stop, a new object on the same path and checkpoint, two more: all four count, and none twice."""
+    g = fixtures.graph(spark, sf_dir, "activity")
+    s = summarize(g, SummaryParams((("hash", 3),), "avg", 0))
+    path, source = str(tmp_path / "state"), tmp_path / "edges"
+    pair = lambda k: spark.createDataFrame([(10**6 + k, 10**6 + k + 1, [50])], "src bigint, dst bigint, labels array<int>")
+    for k in range(2):
+        pair(k).coalesce(1).write.mode("append").parquet(str(source))
+    for n in (2, 4):
+        stream = SummaryStream(s, path)
+        rows = spark.readStream.schema(pair(0).schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        stream.edges(rows, checkpointLocation=str(tmp_path / "check")).awaitTermination()
+        assert stream.summary.added_edges == n
+        for k in range(2, 4):
+            pair(k).coalesce(1).write.mode("append").parquet(str(source))
+    again = SummaryStream(s, path)
+    assert again.summary.added_edges == 4 and again._last == {"edges": 3}
+    again._apply("edges", add_edges)(pair(9), 3)
+    assert again.summary.added_edges == 4
+
+
+def test_null_values_keep_their_rows(spark, tmp_path):
+    """Customers and events without a kind lose that label or edge alone, as in the SQL."""
+    folder = "/root/testdata/sf0.001"
+    for t in ("region", "nation", "supplier", "part", "orders", "lineitem"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{folder}/{t}.parquet")
+    c = spark.read.parquet(f"{folder}/customer.parquet")
+    c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    g = fixtures.commerce(spark, str(tmp_path))
+    n = g.vertices.where(F.array_contains("labels", fixtures.CUSTOMER))
+    assert n.count() == c.count() and n.where(F.size("labels") == 1).count() == c.where("c_custkey % 2 = 1").count()
