@@ -60,8 +60,15 @@ def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
 
 
 def distinct(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each distinct slice's first occurrence, number of the distinct slice at each place). Equal hashes are told apart by the values themselves."""
-    _, first, inverse = np.unique(slice_hashes(values, starts, ends), return_index=True, return_inverse=True)
+    """(a place of each distinct slice, number of the distinct slice at each place). Equal hashes are told apart by the values themselves."""
+    hashes = slice_hashes(values, starts, ends)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    first = order[new]
+    inverse = np.empty(len(hashes), np.int64)
+    inverse[order] = np.cumsum(new) - 1
     size, like = ends - starts, first[inverse]
     if np.array_equal(size, size[like]) and np.array_equal(values[ragged(starts, size)], values[ragged(starts[like], size)]):
         return first, inverse
