@@ -340,3 +340,30 @@ def op7_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = frames.read(spark, sf_dir, "documents")
     scored = score(docs, F.coalesce(frames.fold("doc_id", 5), F.lit(0)) != 1)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"), "vocabulary")
+
+
+#: Counts of words, pairs and triples by grouping, each token's probability by the formula from the shortest context up. The
+#: training rows are found by CRC-32 in plain arithmetic, a byte and seven zeros for each character of the key.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_reduce(flatten([[ord(c), 0, 0, 0, 0, 0, 0, 0] for c in string_split(doc_id::VARCHAR, '')]), lambda s, b: xor(xor(s, b) >> 1, CASE WHEN xor(s, b) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295) AS crc,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS w FROM documents
+), f AS (SELECT doc_id, xor(crc, 4294967295) % 5 = 1 AS held_out, w FROM d
+), t AS (SELECT doc_id, held_out, unnest(w) AS w, unnest(range(len(w))) AS i FROM f
+), s AS (SELECT *, lag(w, 1, ' ') OVER o AS v, CASE WHEN i = 0 THEN NULL ELSE lag(w, 2, ' ') OVER o END AS u FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), l AS (SELECT * FROM s WHERE NOT held_out
+), c1 AS (SELECT w, count(*) AS n FROM l GROUP BY 1 UNION ALL SELECT ' ', count(*) FROM f WHERE NOT held_out
+), k AS (SELECT (SELECT count(*) FROM l) AS n, (SELECT count(DISTINCT w) FROM l) AS v
+), c2 AS (SELECT v, w, count(*) AS n FROM l GROUP BY 1, 2 HAVING count(*) >= 2
+), c3 AS (SELECT u, v, w, count(*) AS n FROM l WHERE u IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 2
+), r1 AS (SELECT c1.w AS v, c1.n, 1 - coalesce(sum(c2.n - 0.75::DOUBLE), 0) / c1.n AS r FROM c1 LEFT JOIN c2 ON c2.v = c1.w WHERE c1.n > 0 GROUP BY 1, 2
+), r2 AS (SELECT c2.v AS u, c2.w AS v, c2.n, 1 - coalesce(sum(c3.n - 0.75::DOUBLE), 0) / c2.n AS r FROM c2 LEFT JOIN c3 ON c3.u = c2.v AND c3.v = c2.w GROUP BY 1, 2, 3
+), p AS (
+  SELECT s.doc_id, s.held_out, c1.n IS NOT NULL AS known, (coalesce(c1.n, 0) + 0.5::DOUBLE) / (k.n + 0.5::DOUBLE * (k.v + 1)) AS p1, r1.n AS n1, r1.r AS r1, c2.n AS m2, r2.n AS n2, r2.r AS r2, c3.n AS m3
+  FROM s CROSS JOIN k LEFT JOIN c1 ON c1.w = s.w LEFT JOIN r1 ON r1.v = s.v LEFT JOIN c2 ON c2.v = s.v AND c2.w = s.w LEFT JOIN r2 ON r2.u = s.u AND r2.v = s.v LEFT JOIN c3 ON c3.u = s.u AND c3.v = s.v AND c3.w = s.w
+), q AS (SELECT *, CASE WHEN n1 IS NULL THEN p1 ELSE coalesce((m2 - 0.75::DOUBLE) / n1, 0) + r1 * p1 END AS p2 FROM p
+)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(*) FILTER (WHERE known)::BIGINT AS n_known, (SELECT n FROM k)::BIGINT AS train_tokens, round(sum(log10(p1)), 6) AS base_score,
+  round(sum(log10(CASE WHEN n2 IS NULL THEN p2 ELSE coalesce((m3 - 0.75::DOUBLE) / n2, 0) + r2 * p2 END)), 6) AS score, (SELECT v FROM k)::BIGINT AS vocabulary
+FROM q GROUP BY 1, 2
+"""

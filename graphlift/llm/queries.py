@@ -17,4 +17,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op2_chat_format": chat.OP2_SQL, "op6_jaccard_join": pathjoin.OP6_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": chat.OP2_SQL, "op6_jaccard_join": pathjoin.OP6_SQL, "op7_lm_score": lm.OP7_SQL}
