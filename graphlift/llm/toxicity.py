@@ -179,8 +179,8 @@ class Sparse:
 def descend(data: Sparse, words: np.ndarray, rounds: int = 300, rate: float = 0.2, decay: float = 1e-4) -> Model:
     """Gradient descent (Adam, whole batch) on the noisy-or likelihood. Sentences without a learned word all have z = b."""
     y = data.labels.astype(float)
-    if not len(y) or y.min() == y.max():
-        return Model()
+    if not len(words) or not len(y) or y.min() == y.max():
+        return Model()  # else the bias alone would take long texts for toxic
     n, m = len(words), len(data.text_of)
     bare = data.n_sentences - np.bincount(data.text_of, minlength=len(y))
     theta = np.zeros(n + 1)
@@ -204,6 +204,9 @@ def descend(data: Sparse, words: np.ndarray, rounds: int = 300, rate: float = 0.
 #: A word gets a weight if it is in texts labelled 1 more often than in others, by a log-likelihood ratio of MIN_G2 or more (20: 8 in a
 #: million words by chance); else the many words that occur by chance in a few toxic texts would be learned by heart.
 MIN_G2 = 20.0
+#: ... and the label is MIN_LIFT times as frequent among its texts as among all: frequent words that long texts have more of pass any test of
+#: significance once there are rows enough, and only raise false alarms.
+MIN_LIFT = 2.0
 
 
 def _g2(n_word, n_both, n_all, n_one, log=np.log, largest=np.maximum):
@@ -222,7 +225,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     last = {(t, int(y)): i for i, (t, y) in enumerate(zip(texts, labels, strict=True))}
     texts, labels = [texts[i] for i in last.values()], labels[list(last.values())]
     words, n_word, n_both = word_counts(texts, labels)
-    keep = _g2(n_word.astype(float), n_both.astype(float), np.float64(len(texts)), np.float64(labels.sum())) >= MIN_G2
+    keep = (_g2(n_word.astype(float), n_both.astype(float), np.float64(len(texts)), np.float64(labels.sum())) >= MIN_G2) & (n_both * len(texts) >= MIN_LIFT * n_word * labels.sum())
     return descend(Sparse.of(texts, labels, words[keep]), words[keep])
 
 
@@ -254,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int =
 
     counted = frames.map_arrow(picked, count, "word bigint, n bigint, pos bigint").groupBy("word").agg(F.sum("n").cast("double").alias("n"), F.sum("pos").cast("double").alias("pos"))
     ratio = _g2(F.col("n"), F.col("pos"), F.lit(float(n_all)), F.lit(float(n_one)), F.log, F.greatest)
-    words = np.sort(counted.where(ratio >= MIN_G2).select("word").toArrow().column(0).to_numpy().view(np.uint64))
+    words = np.sort(counted.where((ratio >= MIN_G2) & (F.col("pos") * n_all >= F.col("n") * (MIN_LIFT * n_one))).select("word").toArrow().column(0).to_numpy().view(np.uint64))
 
     def reduce(batches):
         for batch in batches:
