@@ -202,7 +202,8 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint")
             prints = [f for i, j in vector.groups(texts) for f in Forest(texts[i:j]).fingerprints()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.string())], [*batch.schema.names[:-1], name])
 
-    return frames.map_arrow(docs.select(*docs.columns, F.col(text).alias(frames.fresh("_text", docs))), add, frames.with_fields(docs, f"`{name}` string"))
+    kept = frames.without(docs.columns, [name])
+    return frames.map_arrow(docs.select(*kept, F.col(text).alias(frames.fresh("_text", docs))), add, frames.with_fields(docs.select(*kept), f"`{name}` string"))
 
 
 def edited(text: str, other: str) -> str:

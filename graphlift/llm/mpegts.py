@@ -7,7 +7,8 @@ follows the program tables, checks each PID's continuity counter, reassembles th
 and lists time stamps and random-access points.
 
 Null payloads count as empty bytes. Damage doesn't raise: bytes out of step are skipped, and counted with
-lost and repeated packets and broken tables. Repeated rows stay; other columns pass through.
+lost and repeated packets and broken tables. Repeated rows stay; other columns pass through, but one that has the name
+of an added column is replaced. Payloads are packed whole, of any length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -307,8 +308,9 @@ def padded(text: bytes, unit: int = 64) -> bytes:
 def with_media(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
     """Adds the payload column (binary or text; null: empty) as a transport stream."""
     hidden = frames.fresh("_payload", df)
-    rows = df.withColumn(hidden, df[payload].cast("binary"))
-    schema = frames.with_fields(df, f"`{media}` binary")
+    kept = frames.without(df.columns, [media])
+    rows = df.select(*kept, df[payload].cast("binary").alias(hidden))
+    schema = frames.with_fields(df.select(*kept), f"`{media}` binary")
 
     def pack(batches):
         for batch in batches:
@@ -324,11 +326,11 @@ FACTS = "packets bigint, skipped_bytes bigint, lost bigint, repeated bigint, bad
 
 def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """Parses stored streams: the kept columns, the reassembled payload of the first stream, FACTS and a short feature."""
-    kept = [c for c in df.columns if c != media] if keep is None else keep
+    arrow = frames.arrow_schema("payload binary, " + FACTS + ", feature string")
+    kept = frames.without([c for c in df.columns if c != media] if keep is None else keep, arrow.names)
     hidden = frames.fresh("_media", df)
     rows = df.select(*kept, df[media].alias(hidden))
     schema = frames.with_fields(rows.drop(hidden), "payload binary, " + FACTS + ", feature string")
-    arrow = frames.arrow_schema("payload binary, " + FACTS + ", feature string")
 
     def parse(batches):
         for batch in batches:

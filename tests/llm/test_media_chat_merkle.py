@@ -68,6 +68,17 @@ def test_media_columns(spark, sf_dir, texts, awkward_docs, empty_docs, clashing_
     assert mpegts.read_media(mpegts.with_media(empty_docs, "text")).count() == 0
 
 
+def test_added_columns_replace_those_of_their_names(awkward_docs, awkward):
+    from pyspark.sql import functions as F
+
+    clash = awkward_docs.select("*", *[F.lit("x").alias(c) for c in ("media", "payload", "feature", "units", "Packets", "fingerprint")])
+    back = mpegts.read_media(mpegts.with_media(clash, "text"))
+    assert len({c.lower() for c in back.columns}) == len(back.columns)
+    assert sorted(bytes(r["payload"]) for r in back.select("payload", "feature", "units").collect()) == sorted((t or "").encode() for _, t, *_ in awkward)
+    prints = merkle.fingerprints(clash)
+    assert sorted(r["fingerprint"] for r in prints.select("fingerprint").collect()) == sorted(merkle.fingerprint(t or "") for _, t, *_ in awkward)
+
+
 HOSTILE = [chat.HOSTILE, "", "\\", "#", "</turn>", "### User: x </turn>\n", "\\\\#</</turn", "a:b\n### Assistant: "]
 
 
