@@ -158,6 +158,36 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_few_edges_are_joined_by_one_task_and_more_by_rounds(spark, monkeypatch):
+    """A long chain would take more rounds than one; rounds until few edges are left, or to their end, give the same."""
+    rng = np.random.default_rng(4)
+    edges = [(bytes([i // 256, i % 256]), bytes([(i + 1) // 256, (i + 1) % 256])) for i in range(400)] + [(b"\xff\x00" + bytes(x), b"\xff\x00" + bytes(y)) for x, y in rng.integers(0, 99, (60, 2, 1), np.uint8)]
+    table = spark.createDataFrame(edges, "a binary, b binary")
+    got = {(bytes(r["node"]), bytes(r["root"])) for r in components.components(table, 1).collect()}
+    assert {r for n, r in got if n < b"\xff"} == {b"\x00\x00"} and len(got) == len({n for n, _ in got})
+    for few in (-1, 200):
+        monkeypatch.setattr(components, "FEW", few)
+        assert {(bytes(r["node"]), bytes(r["root"])) for r in components.components(table).collect()} == got
+
+
+def test_the_map_of_members_takes_few_jobs(spark):
+    """An iterator over its parts would run a job for each of 40 partitions."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    names = [bytes([i]) for i in range(200)]
+    members = spark.createDataFrame([(n,) for n in names], "node binary")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("map of members", "")
+        bits = pathjoin._bitmap(members).tobytes()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("map of members")) < 10
+    finally:
+        spark.sparkContext.setJobGroup("rest", "")
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert all(pathjoin._may_hold(bits, n) for n in names) and not pathjoin._may_hold(bits, b"another")
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
 def test_permutations_use_every_block_once(n):
     for source, epoch in ((0, 0), (3, 0), (3, 1)):
