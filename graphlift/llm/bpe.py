@@ -3,7 +3,7 @@
 1. Texts are dealt into chunks of about 12 MB and split into the tokenizer's words (pre-tokens).
 2. Each chunk sends its distinct words, grouped by a hash, to the word buckets; a bucket encodes
    each distinct word of the corpus once and sends every chunk the ids of its words.
-3. A chunk joins the ids back by position and decodes through the id-to-piece table (as many rows as the vocabulary has).
+3. A chunk joins the ids back by position among its sorted words and decodes through the id-to-piece table (as many rows as the vocabulary has).
 
 Only compressed texts, distinct words and their ids are exchanged, never one row for each place of a word.
 
@@ -177,10 +177,11 @@ def pieces(content: str) -> list[bytes]:
 
 
 def _bucketed(words: list[str], n: int) -> dict[int, list[int]]:
-    """Indices of the words of each bucket, in the order of the words."""
+    """Indices of the words of each bucket, sorted by the words themselves: a chunk's rows reach its two readers in different orders where they
+    come from several executors, so the order of first places can't name a word."""
     out: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        out.setdefault(zlib.crc32(w.encode()) % n, []).append(i)
+    for i in sorted(range(len(words)), key=words.__getitem__):
+        out.setdefault(zlib.crc32(words[i].encode()) % n, []).append(i)
     return out
 
 

@@ -80,3 +80,35 @@ def test_long_words_equal_the_library(spark, thue_morse):
     docs = spark.createDataFrame(list(enumerate(thue_morse)), "doc_id bigint, text string")
     for r in bpe.encode(docs).collect():
         assert tuple(r)[1:] == expected(tokenizer, thue_morse[r["doc_id"]])
+
+
+def test_rows_in_another_order_for_each_reader(spark):
+    """Blocks of several executors arrive in any order: here a chunk's two readers get its rows shuffled apart."""
+    import pyarrow as pa
+
+    def shuffled(batches):
+        rows = [r for b in batches for r in b.to_pylist()]
+        random.SystemRandom().shuffle(rows)
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+
+    texts = {i: f"{'word' * (i % 9)} {i * 7919} <|endoftext|> {'other' * (i % 7)}{i}" for i in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1)
+    tokenizer = Tokenizer.from_file(bpe.default_path())
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = bpe.encode(docs.mapInArrow(shuffled, docs.schema), chunk_bytes=5_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        assert tuple(r)[1:] == expected(tokenizer, texts[r["doc_id"]])
+
+
+def test_messages_do_not_depend_on_the_order_of_texts():
+    given = ["one two", "three " * 400_000, "four " * 400_000, "<|endoftext|> five", "six <|endoftext|>", "seven one", ""]
+    splitter = bpe.Splitter(["<|endoftext|>"])
+    messages = []
+    for some in (given, given[::-1]):
+        words, _, _ = splitter.words(some)
+        messages.append({b: [words[i] for i in at] for b, at in bpe._bucketed(words, 3).items()})
+    assert messages[0] == messages[1]
