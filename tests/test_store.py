@@ -50,3 +50,27 @@ def test_stored_graphs_are_those_of_the_tables(spark, sf_dir, name):
     text = lambda df: df.withColumn("labels", F.array_join(F.col("labels").cast("array<string>"), " "))
     for a, b in ((g.vertices, plain.vertices), (g.edges, plain.edges)):
         assert a.count() == b.count() and text(a).exceptAll(text(b)).isEmpty()
+
+
+def test_stored_tables_leave_no_exchange_on_disk(spark):
+    """Shuffle files of a graph's making are gone when it is stored, and the session's setting is as before."""
+    import time
+
+    from graphlift.operators.store import CLEANUP, written
+
+    def files():
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in map(found.apply, range(found.size())) if f.getName().endswith(".data")}
+
+    before, setting = files(), spark.conf.get(CLEANUP)
+    vertices = spark.range(1000).selectExpr("id", "array(7) AS labels")
+    edges = spark.range(5000).selectExpr("id % 100 AS src", "id % 77 AS dst", "array(20) AS labels")
+    g = stored_rows(vertices, edges, (7,), (20,))
+    many = written(g.edges.groupBy("src").count())
+    assert spark.conf.get(CLEANUP) == setting
+    for _ in range(50):  # files go in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert (g.vertices.count(), g.edges.count(), many.count()) == (1000, 5000, 100)
