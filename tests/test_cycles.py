@@ -99,3 +99,13 @@ def test_edges_are_not_exchanged_for_the_cells_of_few_vertices(spark, monkeypatc
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert joins[0] == 1 < joins[1] and rows[0] == rows[1]
+
+
+def test_degrees_exchange_label_sets_not_labels(spark, sf_dir):
+    """Label sets are taken apart after the last exchange by vertex; only sums of whole buckets are exchanged then."""
+    g = fixtures.graph(spark, sf_dir)
+    cells = g.vertices.select("id", F.lit(1).alias("cell"))
+    plan = stats.edge_deg(g, cells)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x.split("Exchange hashpartitioning(")[1] for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert any(x.startswith("edge_label#") for x in exchanges)
+    assert not any(x.startswith("edge_label#") and "id#" in x.split("ENSURE")[0] for x in exchanges)
